@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .license_scan import OP4_SQL, op4_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
+from .quality_rules import op1_quality_rules
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_mix_sources": op6_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op4_license_scan": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op9_exact_dedup": OP9_SQL,
