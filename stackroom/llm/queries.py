@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .license_scan import OP4_SQL, op4_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
+from .near_dup import op7_ngram_jaccard
 from .quality_rules import op1_quality_rules
 from .url_filter import OP5_SQL, op5_url_filter
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
