@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .html_text import op2_html_extraction
 from .license_scan import OP4_SQL, op4_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
 from .near_dup import op7_ngram_jaccard
@@ -13,6 +14,7 @@ from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
