@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,10 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files go: Spark drops them once the driver's JVM has collected what refers
+    to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,6 +9,7 @@ from .license_scan import OP4_SQL, op4_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
 from .near_dup import op7_ngram_jaccard
 from .quality_rules import op1_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
