@@ -20,13 +20,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from .plans import conditions, increments, scalars, tables, vectors  # noqa: F401  they register
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Several conditions on documents without the trash, longest first, 20 rows."""
+    from .plans.conditions import adv_all
+
+    return adv_all(spark, sf_dir)
