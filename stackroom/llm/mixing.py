@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    found = ranked.withColumn("level", level)
-    found = found.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    found = ranked.withColumns({"level": level, "at": F.row_number().over(order)})
+    found = found.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(everything)["level"])
     return found.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
@@ -92,7 +92,9 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NUL
 l AS (SELECT *, cap / w AS ratio,
   (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, (min(CASE WHEN level <= ratio THEN level END) OVER ()) AS lv FROM l),
+p AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS place FROM l),
+f AS (SELECT level AS lv FROM p WHERE level <= ratio ORDER BY place LIMIT 1),
+t AS (SELECT * FROM p LEFT JOIN f ON true),
 g AS (SELECT source, source_size, CASE WHEN lv IS NULL OR ratio <= lv THEN cap ELSE w * lv END AS target FROM t),
 r AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
   row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5('mix-1' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12), d.doc_id) AS rank,
