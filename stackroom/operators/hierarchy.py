@@ -17,11 +17,12 @@ def closure(edges: DataFrame, node: str = "key", parent: str = "parent") -> Data
     number of rounds is the logarithm of the depth; a round without new pairs ends it."""
     step = edges.where(F.col(parent).isNotNull() & F.col(node).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(node).alias("node")).distinct()
     pairs = step.unionByName(edges.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))).distinct()
+    pairs = pairs.persist()
     before, rounds = -1, 0
     while (now := pairs.count()) != before:
         before, rounds = now, rounds + 1
         further = pairs.select("ancestor", F.col("node").alias("via")).join(pairs.select(F.col("ancestor").alias("via"), "node"), "via").select("ancestor", "node")
-        pairs = pairs.unionByName(further).distinct()
+        pairs = pairs.unionByName(further).distinct().persist()
         if rounds % CUT_EVERY == 0 and (edges.sparkSession.conf.get("spark.checkpoint.dir", None) or edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
             pairs = pairs.checkpoint()
     return pairs

@@ -286,7 +286,7 @@ def keyed(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    docs = keyed(spark, sf_dir)
+    docs = keyed(spark, sf_dir).drop("text")
     groups = D.duplicate_groups(D.match_keys(docs, "doc_id", {"text": F.col("k")}), "doc_id")
     return docs.join(groups.select(F.col("value").alias("k")), "k", "left_semi")
 

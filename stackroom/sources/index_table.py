@@ -1,14 +1,16 @@
-"""An index table on Parquet: every version in a folder of its own, published by the writer's success
-marker, so that readers see a whole version or the one before."""
+"""An index table on Parquet: every version in a folder of its own with its schema beside it, published by
+the writer's success marker, so that readers see a whole version or the one before."""
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import sync
 
@@ -39,17 +41,25 @@ class IndexTable:
         versions = self._versions()
         if not versions:
             raise FileNotFoundError(self.path)
-        df = self.spark.read.parquet(f"{self.path}/{versions[-1]}")
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/schema-{versions[-1]}"))
+        schema = StructType.fromJson(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        stream.close()
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/{versions[-1]}")
         return df.select(*columns) if columns else df
 
     def replace(self, df: DataFrame, keep: int = 2) -> None:
         """Writes a new version; the success marker of the writer publishes it. Older ones than keep go."""
         name = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        fs, path = self._fs()
+        out = fs.create(path(f"{self.path}/schema-{name}"))
+        out.write(bytearray(df.schema.json().encode()))
+        out.close()
         writer = df.write.partitionBy(self.group) if self.group else df.write
         writer.parquet(f"{self.path}/{name}")
-        fs, path = self._fs()
         for old in self._versions()[:-keep]:
             fs.delete(path(f"{self.path}/{old}"), True)
+            fs.delete(path(f"{self.path}/schema-{old}"), False)
 
     def append(self, df: DataFrame) -> None:
         self.replace(self.read().unionByName(df, allowMissingColumns=True) if self.exists() else df)
