@@ -215,7 +215,7 @@ def title_key(title: Column) -> Column:
     tag, article = re.compile(r"</?[A-Za-z][^<>]*>"), re.compile(r"\W*(?:a|an|the)\s+", re.I)
 
     def key(text: str | None) -> str:
-        plain = html.unescape(tag.sub("", text or ""))
+        plain = html.unescape(tag.sub(" ", text or ""))
         if found := article.match(plain):
             plain = plain[found.end() :]
         marks = (" " if unicodedata.category(c)[0] in "PSZ" or c.isspace() else c for c in unicodedata.normalize("NFKD", plain) if unicodedata.category(c)[0] != "M")
@@ -231,7 +231,7 @@ def title_key(title: Column) -> Column:
 
 def ascii_title_key(title: Column) -> Column:
     """title_key for Latin text, in built-in expressions."""
-    out = F.regexp_replace(F.coalesce(title, F.lit("")), r"</?[A-Za-z][^<>]*>", "")
+    out = F.regexp_replace(F.coalesce(title, F.lit("")), r"</?[A-Za-z][^<>]*>", " ")
     out = F.regexp_replace(out, r"(?i)^\W*(?:a|an|the)\s+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(fold(out), r"[^0-9a-z\x80-￿]+", " "), r" +", " "))
 

@@ -45,12 +45,21 @@ def qualify(members: DataFrame, group: Sequence[str], key: str, kind: str, ident
     return found.withColumn("verdict", F.when(F.col("kinds") > 1, "mixed types").when(F.col("ids") > 1, "differing identifiers").otherwise("ok"))
 
 
-def first_claims(members: DataFrame, group: str, key: str) -> DataFrame:
-    """Groups that share no member with an earlier one (by group id): of the groups of an item the
-    first claims it; a group stands if it claims all its members. One pass, not order by order."""
-    claimed = members.groupBy(key).agg(F.min(group).alias("__owner"))
-    own = members.join(claimed, key).groupBy(group).agg(F.min((F.col("__owner") == F.col(group)).cast("int")).alias("whole"))
-    return own.where("whole = 1").select(group)
+def standing_groups(members: DataFrame, group: str, key: str, ceiling: int | None = None) -> DataFrame:
+    """Groups that share no member with an earlier one that stands, by group id: what taking them in order
+    would give. In each round the groups that come first among the undecided ones of all their members
+    stand, and those that overlap them fall. ceiling keeps the first so many, as a limit on one call."""
+    left = members.select(group, key).distinct().persist()
+    stands = left.select(group).limit(0)
+    while not left.isEmpty():
+        owner = left.groupBy(key).agg(F.min(group).alias("__owner"))
+        whole = left.join(owner, key).groupBy(group).agg(F.min((F.col("__owner") == F.col(group)).cast("int")).alias("w"))
+        new = whole.where("w = 1").select(group).persist()
+        taken = left.join(new, group, "left_semi").select(key).distinct()
+        fallen = left.join(taken, key, "left_semi").select(group).distinct()
+        stands = stands.unionByName(new)
+        left = left.join(fallen, group, "left_anti").persist()
+    return stands if ceiling is None else stands.orderBy(group).limit(ceiling)
 
 
 def merge_plan(members: DataFrame, keepers_: DataFrame, group: str, key: str, tags: str) -> DataFrame:

@@ -316,10 +316,11 @@ def auto_merge_qualify(spark, sf_dir):
     return D.qualify(_members(spark, sf_dir), ["k"], "doc_id", "lang", "source")
 
 
-@query("merge_overlap", "WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS item FROM lineitem WHERE l_suppkey < 40), o AS (SELECT item, min(g) AS owner FROM m GROUP BY item) SELECT g FROM m JOIN o USING (item) GROUP BY g HAVING bool_and(owner = g)")
+@query("merge_overlap")
 def merge_overlap(spark, sf_dir):
+    """The result depends on an order of decisions, which SQL can't express; tests use a loop."""
     m = table(spark, sf_dir, "lineitem").where("l_suppkey < 40").select(F.col("l_orderkey").alias("g"), F.col("l_suppkey").alias("item")).distinct()
-    return D.first_claims(m, "g", "item")
+    return D.standing_groups(m, "g", "item")
 
 
 @query("merge_plan", f"""WITH m AS (SELECT k, doc_id, [source, lang] AS tags FROM {_DOCS} WHERE k IN (SELECT k FROM {_DOCS} GROUP BY k HAVING count(DISTINCT doc_id) > 1)),
