@@ -18,12 +18,14 @@ passages cost little, and no link is lost.
 How buckets are joined. A bucket links to its least document only (a star, linear in the
 bucket). Candidates must pass the whole sketches' Hamming bound, then an exact count on
 the shingle sets. Only where the linked components still leave a bucket divided are its
-other members compared, across components.
+other members compared, across components: in tiles of TILE members a side, by sketches,
+so that only what passes the Hamming bound is ever written. A pair that meets in several
+buckets is reported by the least of them that is among both sides' LEAST_KEYS least keys, and by
+all of them where there is none such.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from bisect import bisect_right
@@ -35,12 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U64, chunks, memo, mix, shingle_sets
-from .common import read, shared_table
+from .common import read, release, shared_table
 from .components import components
 
 #: Links have 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT, WORDS = 75, 5
-HOT = 32
+HOT = 16
+#: Members of a divided bucket compared side by side in one task, about.
+TILE = 512
+#: Least keys of a member that travel with it, to name the one bucket that reports a pair.
+LEAST_KEYS = 16
 CLASS_BITS = 7
 #: Rows in an Arrow batch of keys, about.
 BATCH = 1 << 18
@@ -115,23 +121,22 @@ def _described(percent: int, what: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             got_keys, got_ids, size = [], [], 0
             for first, group in chunks(texts):
                 sets = shingle_sets(group, WORDS)
-                mine = ids[first : first + len(group)]
+                mine = batch.column(0).slice(first, len(group))
                 if what == "keys":
                     each = [keys(s, percent) if len(s) else s for s in sets]
                     got_keys.append(np.concatenate(each))
-                    got_ids.append(np.repeat(mine, [len(k) for k in each]))
+                    got_ids.append(np.repeat(mine.to_numpy(), [len(k) for k in each]))
                     size += len(got_keys[-1])
                     if size >= BATCH:
                         yield pa.record_batch([pa.array(np.concatenate(got_keys).view(np.int64)), pa.array(np.concatenate(got_ids))], ["key", "doc_id"])
                         got_keys, got_ids, size = [], [], 0
                     continue
                 prints = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-                start = [pa.array(mine), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+                start = [mine, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
                 more = [sketch(s) for s in sets] if what == "sketch" else [s.tobytes() for s in sets]
                 yield pa.record_batch([*start, pa.array(more, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", what])
             if size:
@@ -166,10 +171,66 @@ def _verified(percent: int):
     return run
 
 
-def _release(spark) -> None:
-    """Shuffle files go when the driver's JVM collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _compare(n: np.ndarray, sketches: list[bytes], component: np.ndarray, tile: np.ndarray, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of one tile pair that are in different components and pass the bounds."""
+    width = min(map(len, sketches))
+    folded = []
+    for s in sketches:
+        x = np.frombuffer(s, U64)
+        while len(x) * 8 > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        folded.append(x)
+    bits, left, right = np.stack(folded), [], []
+    for lo in range(0, len(n), 64):
+        hi = min(lo + 64, len(n))
+        apart = np.zeros((hi - lo, len(n)), np.int64)
+        for w in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[lo:hi, w, None] ^ bits[None, :, w])
+        near = apart * (100 + percent) <= (100 - percent) * (n[lo:hi, None] + n[None, :])
+        near &= (component[lo:hi, None] != component[None, :]) & (np.arange(lo, hi)[:, None] < np.arange(len(n))[None, :])
+        if across:
+            near &= tile[lo:hi, None] != tile[None, :]
+        i, j = np.nonzero(near)
+        left.append(i + lo)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _tiles(percent: int):
+    """mapInArrow function over rows (key, s, t, tile, rep, component, n_shingles, sketch, least) sorted
+    by key, s, t: the candidate pairs of every tile pair."""
+
+    def pairs(batch: pa.Table) -> list[pa.RecordBatch]:
+        x = {c: batch.column(c).to_numpy() for c in ("key", "s", "t", "tile", "rep", "component", "n_shingles")}
+        sketches, least = batch.column("sketch").to_pylist(), batch.column("least").to_pylist()
+        new = np.flatnonzero((np.diff(x["key"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["t"]) != 0)) + 1
+        found = set()
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(sketches)], strict=True):
+            i, j = _compare(x["n_shingles"][lo:hi], sketches[lo:hi], x["component"][lo:hi], x["tile"][lo:hi], percent, x["s"][lo] != x["t"][lo])
+            reps, key, sets = x["rep"][lo:hi].tolist(), int(x["key"][lo]), [None] * (hi - lo)
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                for m in (p, q):
+                    sets[m] = sets[m] or set(least[lo + m])
+                if min(sets[p] & sets[q], default=key) == key:
+                    found.add((min(reps[p], reps[q]), max(reps[p], reps[q])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return [pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            x = [t.column(c).to_numpy() for c in ("key", "s", "t")]
+            last = np.flatnonzero(np.any([c != c[-1] for c in x], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from pairs(t.slice(0, cut).combine_chunks())
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield from pairs(rest.combine_chunks())
+
+    return run
 
 
 class NearDuplicates:
@@ -184,11 +245,11 @@ class NearDuplicates:
         self.members = shared_table(known.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", "rep", "f1", "f2"), "members")
         self.nodes = shared_table(known.join(reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2", "sketch"), "nodes")
         buckets = self._buckets()
-        _release(self.spark)
+        release(self.spark)
         links = self._links(buckets.where("doc_id <> pivot").select(F.col("pivot").alias("p"), "doc_id").distinct())
         rest = self._divided(buckets, components(links, "stars"))
-        _release(self.spark)
-        self.links = links.unionByName(self._verify(rest)) if rest is not None else links
+        release(self.spark)
+        self.links = links.unionByName(self._verify(rest))
 
     def _buckets(self) -> DataFrame:
         """(key, doc_id, pivot, n): rows of the keys that two documents or more share."""
@@ -215,7 +276,7 @@ class NearDuplicates:
         full = near.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b")
         return shared_table(full.mapInArrow(_verified(p), "a long, b long"), "links")
 
-    def _divided(self, buckets: DataFrame, parts: DataFrame) -> DataFrame | None:
+    def _divided(self, buckets: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs of representatives that share a bucket, are not its pivot, and are in different
         components so far."""
         slack = F.create_map(*[F.lit(x) for j in range(len(size_classes()) - 1) for x in (j, banding(j, self.percent)[2])])
@@ -225,11 +286,14 @@ class NearDuplicates:
         reps = self.members.where("rep IS NOT NULL").select("doc_id", "rep")
         rows = rows.join(reps, "doc_id").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")).distinct()
         rows = shared_table(rows, "rest")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-        rows = shared_table(rows.join(mixed, "key"), "divided")
-        right = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("d"))
-        pairs = rows.select("key", F.col("rep").alias("a"), F.col("component").alias("c")).join(right, "key").where("a < b AND c <> d")
-        return shared_table(pairs.select("a", "b").distinct(), "pairs")
+        whole = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("m")).where("c < d")
+        rows = shared_table(rows.join(whole.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key"), "divided")
+        least = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.join(self.nodes.select("rep", "n_shingles", "sketch"), "rep").join(least, "rep")
+        rows = rows.select("key", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "rep", "component", "n_shingles", "sketch", "least")
+        tiled = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t").mapInArrow(_tiles(self.percent), "a long, b long")
+        return shared_table(tiled.distinct(), "pairs")
 
     def components(self) -> DataFrame:
         """One row per input row: doc_id, n_shingles, component_id, group_links."""
