@@ -13,7 +13,8 @@ parts are among the d + 1 + SLACK last of all parts of either side: only these a
 published, and parts without or with few shingles are mostly not. If at most SLACK of a
 document's published keys are hot (shared by more than HOT documents), at least one agreed
 key is not hot, and the document's hot keys can go; otherwise they stay. So frequent
-passages cost little, and no link is lost.
+passages cost little, and no link is lost. Of equal sets a map task publishes the first only,
+so that a group of copies sends a row per key and task, however many copies it has.
 
 How buckets are joined. A bucket links to its least document only (a star, linear in the
 bucket). Candidates must pass the whole sketches' Hamming bound, then an exact count on
@@ -120,6 +121,7 @@ def _described(percent: int, what: str):
     """mapInArrow function over (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        published: set[bytes] = set()  # as many as the task has documents
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             got_keys, got_ids, size = [], [], 0
@@ -127,7 +129,11 @@ def _described(percent: int, what: str):
                 sets = shingle_sets(group, WORDS)
                 mine = batch.column(0).slice(first, len(group))
                 if what == "keys":
-                    each = [keys(s, percent) if len(s) else s for s in sets]
+                    each = []
+                    for s in sets:
+                        mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                        each.append(keys(s, percent) if len(s) and mark not in published else s[:0])
+                        published.add(mark)
                     got_keys.append(np.concatenate(each))
                     got_ids.append(np.repeat(mine.to_numpy(), [len(k) for k in each]))
                     size += len(got_keys[-1])
