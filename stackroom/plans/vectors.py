@@ -60,8 +60,8 @@ def knn_hydrated(spark, sf_dir):
 
 @query("rerank_topk")
 def rerank_topk(spark, sf_dir):
-    """The ten of forty documents that share most words with a query."""
-    hits = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40).select("doc_id", "text")
+    """Of the forty longest documents with a word, the ten that share most words with a query."""
+    hits = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("idiot"))).orderBy(F.desc("n_chars"), "doc_id").limit(V.fetch_size(10, chunked=True)).select("doc_id", "text")
     wanted = {"the", "of", "and", "in"}
     return V.rerank(hits, "text", "doc_id", 10, lambda texts: [len(wanted & set(t.lower().split())) / (1 + len(t)) for t in texts]).select("doc_id", F.round("rerank", 9).alias("score"))
 
@@ -85,8 +85,8 @@ def best_snippet(spark, sf_dir):
 
 @query("fuzzy_page")
 def fuzzy_page(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars < 1500").withColumn("f", G.find_in_pages(F.split("text", "\n"), "the and of the in thand"))
-    return docs.select("doc_id", "f.page", F.round("f.ratio", 6).alias("ratio"), "f.found")
+    turns = table(spark, sf_dir, "conversations").withColumn("f", G.find_in_pages(F.split("text", "\n"), "the and of the in thand"))
+    return turns.select("conv_id", "turn", "f.page", F.round("f.ratio", 6).alias("ratio"), "f.found")
 
 
 _TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
