@@ -35,11 +35,11 @@ FOLD_FROM, FOLD_TO = _decomposed()
 def fold(text: Column) -> Column:
     """Comparison form: no accents, one dash, lower case; null is ''. Scripts other than Latin
     are only lower-cased (no transliteration table is shipped)."""
-    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    out = F.translate(out, FOLD_FROM + DASHES, FOLD_TO + "-" * len(DASHES))
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    out = F.translate(low, FOLD_FROM + DASHES, FOLD_TO + "-" * len(DASHES))
     for letter, spelled in SPELLED.items():
         out = F.replace(out, F.lit(letter), F.lit(spelled))
-    return out
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(out)  # ASCII needs no more
 
 
 def fold_value(text: str) -> str:

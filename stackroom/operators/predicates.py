@@ -159,8 +159,9 @@ def condition(fields: Mapping[str, Field], field: str, operation: str, value: st
 
 
 def all_or_any(fields: Mapping[str, Field], conditions: Sequence[Mapping[str, str]], join_mode: str = "all", keys=None) -> Column:
-    """A list of {field, operation, value} as one boolean Column; without conditions, everything."""
+    """A list of {field, operation, value} as one boolean Column; without conditions, everything. Searches
+    inside of values come last, so that cheaper conditions spare them."""
     if join_mode not in ("all", "any"):
         raise Unsupported(f"join mode {join_mode}")
-    each = [condition(fields, c["field"], c["operation"], str(c["value"]), keys) for c in conditions]
+    each = [condition(fields, c["field"], c["operation"], str(c["value"]), keys) for c in sorted(conditions, key=lambda c: POSITIVE.get(c["operation"], c["operation"]) == "contains")]
     return functools.reduce(operator.and_ if join_mode == "all" else operator.or_, each) if each else F.lit(True)
