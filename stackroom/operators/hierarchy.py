@@ -23,7 +23,7 @@ def closure(edges: DataFrame, node: str = "key", parent: str = "parent") -> Data
         before, rounds = now, rounds + 1
         further = pairs.select("ancestor", F.col("node").alias("via")).join(pairs.select(F.col("ancestor").alias("via"), "node"), "via").select("ancestor", "node")
         pairs = pairs.unionByName(further).distinct().persist()
-        if rounds % CUT_EVERY == 0 and (edges.sparkSession.conf.get("spark.checkpoint.dir", None) or edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
+        if rounds % CUT_EVERY == 0 and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             pairs = pairs.checkpoint()
     return pairs
 

@@ -60,6 +60,11 @@ def test_closure_of_random_forest(spark):
     assert got == want
 
 
+def test_closure_of_chain(spark):
+    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "key long, parent long")
+    assert H.closure(edges).count() == 40 * 41 // 2
+
+
 def test_descendants_of_unknown(spark):
     edges = spark.createDataFrame([(1, None), (2, 1)], "key long, parent long")
     assert H.descendants(edges, [9]).count() == 0
