@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import sliced
 from .common import read
 
-#: Pre-tokens that a worker remembers, in each of two generations, and pairs of tokens; 200 MB at most.
-MEMO = 1 << 19
+#: Pre-tokens that a worker remembers, in each of two generations, and pairs of tokens; 100 MB at most.
+MEMO = 1 << 18
 #: White space by Unicode, which \s isn't in every engine.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -168,7 +169,7 @@ def encode_texts(df: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col:
     encoded alike; other columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             coded = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             columns = {
                 "doc_id": b.column(0),

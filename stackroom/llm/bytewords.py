@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from functools import wraps
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are taken in groups of about this many bytes, which bounds the working memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -72,7 +74,7 @@ class Prefix:
     """Polynomial prefix hashes of a byte array; span(starts, ends) hashes many ranges at once."""
 
     def __init__(self, data: np.ndarray, lower: bool = False) -> None:
-        up, self.down = _powers(max(21, int(len(data) + 1).bit_length()))
+        up, self.down = _powers(max(20, int(len(data) + 1).bit_length()))
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(_byte_values(lower)[data] * up[: len(data)], dtype=U64, out=self.sums[1:])
 
@@ -80,18 +82,32 @@ class Prefix:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
 
-def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) of groups of about limit bytes; null counts as empty."""
-    first, group, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or b""
-        if group and size + len(text) > limit:
-            yield first, group
-            first, group, size = i, [], 0
-        group.append(text)
-        size += len(text) + 1
-    if group:
-        yield first, group
+def chunks(texts: list[bytes] | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) of groups of about limit bytes; null counts as empty. Of an Arrow
+    column only one group at a time becomes Python objects."""
+    column = not isinstance(texts, list)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist() if column else [len(t) for t in texts]
+    first, size = 0, 0
+    for i in range(len(sizes) + 1):
+        if i == len(sizes) or (i > first and size + sizes[i] > limit):
+            if i > first:
+                group = texts[first:i]
+                yield first, [t or b"" for t in group.cast(pa.binary()).to_pylist()] if column else group
+            first, size = i, 0
+        if i < len(sizes):
+            size += sizes[i] + 1
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about limit bytes of a text column."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            start = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, start + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

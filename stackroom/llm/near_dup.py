@@ -123,9 +123,8 @@ def _described(percent: int, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         published: set[bytes] = set()  # as many as the task has documents
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
             got_keys, got_ids, size = [], [], 0
-            for first, group in chunks(texts):
+            for first, group in chunks(batch.column(1)):
                 sets = shingle_sets(group, WORDS)
                 mine = batch.column(0).slice(first, len(group))
                 if what == "keys":
@@ -166,10 +165,9 @@ def _within(percent: int):
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.to_pydict()
-            keep = []
-            for p, q in zip(x["set_a"], x["set_b"], strict=True):
-                p, q = np.frombuffer(p, U64), np.frombuffer(q, U64)
+            left, right, keep = batch.column("set_a"), batch.column("set_b"), []
+            for i in range(len(left)):
+                p, q = np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -320,3 +318,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON s.doc_id = c.doc_id
+"""

@@ -140,7 +140,7 @@ class ToxicityModel:
         toxic = np.asarray(toxic, int)
         if not toxic.any() or toxic.all():
             return model
-        parts = [tokens(group) for _, group in chunks(texts)]
+        parts = [{k: t[k] for k in ("first", "features")} for _, group in chunks(texts) for t in [tokens(group)]]
         bounds = np.cumsum([0, *(len(g) for _, g in chunks(texts))])
         own = 1 + len(PREFIXES)
         docs = {0: np.zeros(size), 1: np.zeros(size)}
@@ -182,7 +182,7 @@ class ToxicityModel:
     def potentials(self, features: np.ndarray) -> np.ndarray:
         return self.weights[features].sum(axis=1, dtype=np.float64) + self.bias
 
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[dict]]]:
+    def score(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """Score and offending spans (characters from, to; probability) of each text."""
         scores, spans = [], []
         for _, group in chunks(texts):
@@ -227,7 +227,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("p", pa.float64())]))
         for b in batches:
-            scores, spans = model.score(b.column(2).cast(pa.binary()).to_pylist())
+            scores, spans = model.score(b.column(2))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(spans, span)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -240,7 +240,7 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, _ = model.score(b.column(at).cast(pa.binary()).to_pylist())
+            scores, _ = model.score(b.column(at))
             yield b.filter(pa.array(scores < THRESHOLD))
 
     return df.mapInArrow(run, df.schema)
