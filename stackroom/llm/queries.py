@@ -7,9 +7,9 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .html_text import op2_html_extraction
 from .license_scan import OP4_SQL, op4_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
-from .near_dup import op7_ngram_jaccard
+from .near_dup import OP7_SQL, op7_ngram_jaccard
 from .quality_rules import op1_quality_rules
-from .suffix_dedup import op8_suffix_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
@@ -30,5 +30,7 @@ ORACLES = {
     "op4_license_scan": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -7,7 +7,9 @@ winnowing). Equal windows have the same smallest hash, so they meet in the same
 about one unit arises every 34 bytes.
 
 1. Units (key, hash of the unit's bytes, document, place) are sorted by key. A unit whose
-   bytes repeat those of an earlier unit goes as a whole. A key that only one byte string has,
+   bytes repeat those of an earlier unit goes as a whole. Those that repeat a unit of their own
+   chunk of texts are marked there and dealt by a hash of their place, so that a passage which
+   many documents share doesn't gather in one task. A key that only one byte string has,
    with its smallest gram once, needs no more: most of the corpus ends here, without its bytes being moved.
 2. The first units of byte strings under a key with several are cut from their texts and
    dealt by key. Each task takes them in document order, in batches of BATCH windows. A batch
@@ -31,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import U64, Prefix, chunks, mix
+from .bytewords import U64, Prefix, chunks, mix, sliced
 from .common import read, release, shared_table
 
 LENGTH, GRAM = 100, 32
 BATCH, HOT = 50_000, 2048
+#: Windows that a task indexes, about; at LENGTH bytes each they bound its memory.
+TASK_WINDOWS = 500_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -173,7 +177,7 @@ def _cut(length: int):
     """mapInArrow function over (doc_id, text, wanted): the spans of the wanted units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             keys, ids, places, spans = [], [], [], []
             for i, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for w in wanted or ():
@@ -198,7 +202,7 @@ def _kept(length: int):
     """mapInArrow function over (doc_id, text, ranges of removed windows): what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             out = []
             for i, text, ranges in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text, removed, spans, at, left = text or b"", 0, 0, 0, []
@@ -224,9 +228,15 @@ def _list_units(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for first, group in chunks(b.column(1).cast(pa.binary()).to_pylist()):
+            for first, group in chunks(b.column(1)):
                 doc, key, body, place, n, twice = units(group, length, gram)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), pa.array(ids[first + doc] if len(doc) else doc, pa.int64()), pa.array(place << 32 | n << 1 | twice)], ["key", "body", "doc_id", "spot"])
+                owner = ids[first + doc].astype(np.int64) if len(doc) else doc
+                both = mix(key) ^ body
+                order = np.lexsort((place, owner, both))
+                sure = np.zeros(len(key), bool)
+                sure[order[1:]] = both[order[1:]] == both[order[:-1]]
+                key = np.where(sure, mix(body ^ mix(owner.astype(U64) << U64(32) ^ place.astype(U64))), key)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), pa.array(owner), pa.array(place << 32 | n << 2 | sure << 1 | twice)], ["key", "body", "doc_id", "spot"])
 
     return run
 
@@ -244,15 +254,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = Window.partitionBy("key", "body").orderBy("doc_id", "spot")
     same = Window.partitionBy("key")
     marked = listed.withColumn("copy", F.row_number().over(copies)).withColumns({"least": F.min("body").over(same), "most": F.max("body").over(same), "n": F.sum(F.when(F.col("copy") == 1, 1).otherwise(0)).over(same)})
-    place, windows, twice = F.shiftright("spot", 32), F.shiftright(F.col("spot").bitwiseAND((1 << 32) - 1), 1), F.col("spot").bitwiseAND(1) == 1
-    repeat = F.col("copy") > 1
+    place, windows = F.shiftright("spot", 32), F.shiftright(F.col("spot").bitwiseAND((1 << 32) - 1), 2)
+    sure, twice = F.col("spot").bitwiseAND(2) > 0, F.col("spot").bitwiseAND(1) > 0
+    repeat = (F.col("copy") > 1) | sure
     found = shared_table(marked.where(repeat | (F.col("least") != F.col("most")) | twice).select("key", "doc_id", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"), (F.col("n") > HOT).alias("hot")), "units")
     release(df.sparkSession)
 
     # Both joins leave the texts' side as it is, so that they share one exchange of the texts.
     wanted = found.where("NOT repeat").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "windows", "hot")).alias("wanted"))
     spans = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(length), "key long, doc_id long, place long, span binary")
-    dealt = spans.repartition("key").sortWithinPartitions("doc_id", "place").select("doc_id", "place", "span")
+    windows = found.where("NOT repeat").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    dealt = spans.repartition(1 + windows // TASK_WINDOWS, "key").sortWithinPartitions("doc_id", "place").select("doc_id", "place", "span")
     removed = dealt.mapInArrow(_scan(length, BATCH), "doc_id long, first long, past long")
     removed = removed.unionByName(found.where("repeat").select("doc_id", F.col("place").alias("first"), (F.col("place") + F.col("windows")).alias("past")))
     ranges = removed.groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
@@ -262,3 +274,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, length(hex(coalesce(text, ''))) // 2 AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM d),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM p),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM f),
+e AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM b),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM e GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r),
+k AS (SELECT q.doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS kept FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0)::BIGINT + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
