@@ -7,7 +7,8 @@ adverts. Every page votes for the generalised path (tags with their classes, dig
 of its best container; Spark counts the votes per (host, path), combined in the map tasks, and
 keeps each host's winner. Pass 2 parses again and takes the text from the winning path's
 containers, or from the page's own best container where the page lacks that path or holds
-little of its text there. The winners, one row per host, are joined, not broadcast.
+little of its text there. The winners, one row per host, are broadcast only if they are at most
+BROADCAST_HOSTS rows; more are joined by a shuffle, whose hot hosts AQE splits.
 
 Within the container everything that is not the article is left out: the elements in SKIP,
 and elements whose class or id names a part that is not the article.
@@ -16,6 +17,7 @@ and elements whose class or id names a part that is not the article.
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .bytewords import sliced
+from .common import read, shared_table
 from .url_filter import url_parts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,12 +40,16 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 GOOD = regex.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text|body|page)(?=$|[\s_-]|\d)", regex.I)
 BAD = regex.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|footer|sidebar|side|aside|widget|cookie\w*|consent|notice|popup|modal|overlay|comment\w*|disqus|respond|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|masthead|skip|legal|copyright|disclaimer|tag-?list|pagination|pager)(?=$|[\s_-]|\d)", regex.I)
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", regex.S)
+TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", regex.S)
 ATTRIBUTE = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
 WHITE = regex.compile(r"\s+")
 SPACE_ONLY = regex.compile(r"[\t\n\r\f\v \xa0]*")
 #: A page keeps its host's path only if that holds this share of the text of its own best container.
 SHARE = 0.5
+#: Elements that are nested deeper count as part of the one at this depth, as in browsers.
+MAX_DEPTH = 256
+#: Winners (a host and a path, under 1 KB each) that may be broadcast.
+BROADCAST_HOSTS = 20_000
 
 
 class Page:
@@ -54,6 +61,7 @@ class Page:
         self.containers: list[tuple[str, float, int]] = []
         self.text: list[str] = []
         self.linked = 0
+        self.deeper: Counter[str] = Counter()
         self.stack: list[tuple[str, str, int, bool]] = []  # name, path, container or -1, skipped
         self._open("", "", False)
         at, end = 0, len(html)
@@ -98,6 +106,9 @@ class Page:
             self._implied(*ENDS[name])
         if name in VOID:
             return
+        if len(self.stack) >= MAX_DEPTH:
+            self.deeper[name] += 1
+            return
         marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if "=" in rest else {}
         words = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
         good, bad = bool(GOOD.search(words)), bool(BAD.search(words))
@@ -118,6 +129,11 @@ class Page:
                 return
 
     def _end(self, name: str) -> None:
+        if self.deeper[name]:
+            self.deeper[name] -= 1
+            if name in BLOCKS:
+                self._flush()
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == name:
                 if any(s[0] in BLOCKS for s in self.stack[i:]):
@@ -183,13 +199,13 @@ def extract(html: str | None, path: str | None) -> str:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 1):
         found = [vote(h) for h in b.column(1).to_pylist()]
         yield pa.record_batch([b.column(0), pa.array([p for p, _ in found], pa.string())], ["host", "path"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2):
         texts = [extract(h, p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], ["page_id", "url", "text", "n_chars", "host_path"])
 
@@ -204,7 +220,9 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_parts(F.col(url_col))[0].alias("host"))
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(-F.col("n"), -F.length(F.regexp_replace("path", "[^/]", "")), F.col("path"))
-    winners = votes.groupBy("host").agg(F.min_by("path", order).alias("host_path"))
+    winners = shared_table(votes.groupBy("host").agg(F.min_by("path", order).alias("host_path")), "winners")
+    if winners.count() <= BROADCAST_HOSTS:
+        winners = F.broadcast(winners)
     chosen = pages.join(winners, "host", "left").select("page_id", "url", "html", "host_path")
     kind = dict(pages.dtypes)
     return chosen.mapInArrow(_texts, f"page_id {kind['page_id']}, url string, text string, n_chars long, host_path string")

@@ -159,6 +159,8 @@ def test_url_trie_precedence():
         ("<div class=article-body><p>long text here now</p><div class='share-buttons'>tweet</div></div>", "long text here now"),
         ("<p>open <b>bold <i>both</b> still", "open bold both still"),
         ("<!-- <p>no</p> --><p>yes</p><!-- never closed <p>no</p>", "yes"),
+        ("<p don't>it's</p><p title=\"x>y</p><a href='a>b'>l</a>", "it's\ny\nl"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>", "deep\nafter"),
         ("<h1>&lt;b&gt;</h1><p>x&nbsp;y</p>", "<b>\nx y"),
     ],
 )
