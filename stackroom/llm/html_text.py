@@ -42,8 +42,6 @@ GOOD = regex.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text
 BAD = regex.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|footer|sidebar|side|aside|widget|cookie\w*|consent|notice|popup|modal|overlay|comment\w*|disqus|respond|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|masthead|skip|legal|copyright|disclaimer|tag-?list|pagination|pager)(?=$|[\s_-]|\d)", regex.I)
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", regex.S)
 ATTRIBUTE = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
-WHITE = regex.compile(r"\s+")
-SPACE_ONLY = regex.compile(r"[\t\n\r\f\v \xa0]*")
 #: A page keeps its host's path only if that holds this share of the text of its own best container.
 SHARE = 0.5
 #: Elements that are nested deeper count as part of the one at this depth, as in browsers.
@@ -53,25 +51,30 @@ BROADCAST_HOSTS = 20_000
 
 
 class Page:
-    """Blocks of one page: (text, words in links, path of container numbers), and its containers:
+    """Blocks of one page: (text, words less twice those in links, path of container numbers), and its containers:
     (path, bonus, level). Content in skipped elements is never collected."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, float, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.containers: list[tuple[str, float, int]] = []
         self.text: list[str] = []
-        self.linked = 0
+        self.linked = self.links = 0
         self.deeper: Counter[str] = Counter()
         self.stack: list[tuple[str, str, int, bool]] = []  # name, path, container or -1, skipped
         self._open("", "", False)
         at, end = 0, len(html)
         while at < end:
-            found = TOKEN.search(html, at)
-            if found is None:
+            less = html.find("<", at)
+            if less < 0:
                 self._data(html[at:])
                 break
-            if found.start() > at:
-                self._data(html[at : found.start()])
+            found = TOKEN.match(html, less)
+            if found is None:
+                self._data(html[at : less + 1])
+                at = less + 1
+                continue
+            if less > at:
+                self._data(html[at:less])
             at = found.end()
             name = (found["name"] or "").lower()
             if not name:
@@ -96,6 +99,7 @@ class Page:
             number = len(self.containers)
             self.containers.append((path, bonus, len(self.stack)))
         self.stack.append((name, path, number, skip or top[3]))
+        self.links += name == "a"
 
     def _start(self, name: str, rest: str) -> None:
         if name in BLOCKS:
@@ -110,6 +114,9 @@ class Page:
             self.deeper[name] += 1
             return
         marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if "=" in rest else {}
+        if not marks:
+            self._open(name, name, name in SKIP, 2.0 if name in {"article", "main"} else 0.0)
+            return
         words = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
         good, bad = bool(GOOD.search(words)), bool(BAD.search(words))
         skip = name in SKIP or marks.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"} or (bad and name not in {"html", "body", "article", "main"})
@@ -121,13 +128,18 @@ class Page:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in names:
                 self._flush()
-                del self.stack[i:]
+                self._close(i)
                 if names != {"p"} and "td" in names and len(names) > 2:
                     continue  # a row ends its cell, then itself
                 return
             if self.stack[i][0] in stops:
                 return
 
+    def _close(self, i: int) -> None:
+        """Ends the elements from place i of the stack on."""
+        self.links -= sum(s[0] == "a" for s in self.stack[i:])
+        del self.stack[i:]
+
     def _end(self, name: str) -> None:
         if self.deeper[name]:
             self.deeper[name] -= 1
@@ -138,7 +150,7 @@ class Page:
             if self.stack[i][0] == name:
                 if any(s[0] in BLOCKS for s in self.stack[i:]):
                     self._flush()
-                del self.stack[i:]
+                self._close(i)
                 return
         if name in BLOCKS:
             self._flush()
@@ -147,41 +159,40 @@ class Page:
         if self.stack[-1][3]:
             return
         text = entities.unescape(raw)
-        if any(s[0] == "a" for s in self.stack):
+        if self.links:
             self.linked += len(text.split())
         self.text.append(text)
 
     def _flush(self) -> None:
-        text = WHITE.sub(" ", "".join(self.text)).strip()
+        text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((text, self.linked, tuple(s[2] for s in self.stack if s[2] >= 0)))
+            self.blocks.append((text, text.count(" ") + 1 - 2 * self.linked, tuple(s[2] for s in self.stack if s[2] >= 0)))
         self.text, self.linked = [], 0
 
     def scores(self) -> list[float]:
         """Of each container: words outside links less words in links, times the bonus."""
         words = [0.0] * len(self.containers)
-        for text, linked, path in self.blocks:
-            n = len(text.split())
+        for _, n, path in self.blocks:
             for c in path:
-                words[c] += n - 2 * linked
+                words[c] += n
         return words
 
     def best(self) -> int | None:
         """The container of the article: most words and bonus; of equals the innermost."""
-        words = self.scores()
         if not self.blocks:
             return None
+        words = self.scores()
         return max(range(len(words)), key=lambda c: (words[c] * (1 + 0.25 * self.containers[c][1]), self.containers[c][2]))
 
     def joined(self, chosen: set[int]) -> str:
         return "\n".join(text for text, _, path in self.blocks if not chosen.isdisjoint(path))
 
 
-def vote(html: str | None) -> tuple[str | None, int]:
-    """Path of the page's best container and its words."""
+def vote(html: str | None) -> str | None:
+    """Path of the page's best container."""
     page = Page(html or "")
     best = page.best()
-    return (None, 0) if best is None else (page.containers[best][0], int(max(0, page.scores()[best])))
+    return None if best is None else page.containers[best][0]
 
 
 def extract(html: str | None, path: str | None) -> str:
@@ -201,7 +212,7 @@ def extract(html: str | None, path: str | None) -> str:
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, 1):
         found = [vote(h) for h in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array([p for p, _ in found], pa.string())], ["host", "path"])
+        yield pa.record_batch([b.column(0), pa.array(found, pa.string())], ["host", "path"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
