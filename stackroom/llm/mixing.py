@@ -47,16 +47,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return found.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size=None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED) -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size=None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
     size: a Column, by default the words of the column text. Null texts have size 0 and
     take nothing. A null source is a source, after all others. The same rows give the
-    same result in every run; rows that repeat an id may swap their copies. Other columns
-    are ignored. An empty table gives an empty result.
+    same result in every run; rows that repeat an id may swap their copies. row_col: a unique
+    key of the rows, returned too; it orders rows that repeat an id. Other columns are ignored.
+    An empty table gives an empty result.
     """
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))) if size is None else size
-    rows = shared_table(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size")), "mix")
+    row = [row_col] if row_col else []
+    rows = shared_table(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), *row), "mix")
     per_size = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     earlier = (Window.unboundedPreceding, -1)
     per_size = per_size.withColumn("smaller", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("size").rowsBetween(*earlier)), F.lit(0)))
@@ -72,12 +74,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     counted = counted.withColumn("ahead", F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("block").rowsBetween(*earlier)), F.lit(0)))
     counted = counted.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("block").alias("c_block"), "ahead")
     placed = joined.join(counted, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("block") == F.col("c_block")))
-    rank = F.col("smaller") + F.col("ahead") + F.row_number().over(Window.partitionBy(*spot).orderBy("key", "doc_id"))
+    rank = F.col("smaller") + F.col("ahead") + F.row_number().over(Window.partitionBy(*spot).orderBy("key", "doc_id", *row))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     crossed = F.floor(F.col("rank") * F.col("each") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("each") + F.col("offset"))
     mixed = placed.withColumns({"rank": rank, "each": each, "offset": offset}).withColumn("copies", F.least(crossed, F.ceil("each")).cast("long"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *row)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -352,3 +352,24 @@ def test_pipeline(spark, sf_dir, reference_encoding):
     text = rows(mixed)
     assert len(last) == mixed.count() and all(r["n_tokens"] == len(reference_encoding.encode_ordinary(text[r["doc_id"]])) for r in last)
     assert sorted(map(tuple, P.run(spark, sf_dir).collect())) == sorted(map(tuple, last))
+
+
+def test_pipeline_null_and_repeated_ids(spark, sf_dir):
+    """Decisions hold per row: null ids are judged by their texts, repeated rows leave one."""
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (2, text(2)), (None, text(3)), (None, text(3)), (7, text(8)), (7, text(9))] + [(5, text(4))] * 30
+    near = [(None, text(5)), (9, text(5) + " more"), (None, text(6)), (None, text(6) + " more"), (6, text(7)), (6, text(7) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows + near], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages, seen = dict(P.STAGES), lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    single = stages["exact dedup"](spark, docs, sf_dir)
+    want = [(0, text(0)), (0, text(1)), (2, text(2)), (0, text(3)), (7, text(8)), (7, text(9)), (5, text(4))]
+    assert seen(single) == sorted(want + [(i or 0, t) for i, t in near]) and single.columns == docs.columns
+    apart = stages["n-gram Jaccard join"](spark, docs, sf_dir)
+    found = seen(apart)
+    assert len(found) == len(want) + 3 and set(want) <= set(found) and (9, text(5) + " more") in found
+    assert {t.split(" ")[0] for i, t in found if (i, t) not in want} == {"t5w0", "t6w0", "t7w0"}
+    mixed = stages["mixing sources to target weights"](spark, docs, sf_dir)
+    copies = sum(r["copies"] for r in M.mix_sources(docs).collect())
+    assert mixed.count() == copies > 0 and mixed.columns == docs.columns
