@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which a lineage is cut; each doubles the depth that is covered.
+#: Rounds after which a lineage is cut.
 CUT_EVERY = 4
 
 
@@ -34,17 +34,21 @@ def descendants(edges: DataFrame, roots: Sequence, node: str = "key", parent: st
     return pairs.where(F.col("ancestor").isin(list(roots))).select("node").distinct()
 
 
-def paths(nodes: DataFrame, node: str = "key", parent: str = "parent", name: str = "name", depth: int = 32) -> DataFrame:
-    """(node, path): names from the root; a missing parent or a cycle shortens it. depth bounds
-    the rounds; rounds end when no path grows."""
+def paths(nodes: DataFrame, node: str = "key", parent: str = "parent", name: str = "name") -> DataFrame:
+    """(node, path): names from the root; a missing parent or a cycle shortens it. Rounds end when
+    no path grows: each adds a level, and none repeats a node."""
     base = nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__p"), F.col(name).alias("__t"))
     grown = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.array(F.col(name)).alias("path"), F.array(F.col(node)).alias("seen"))
-    for _ in range(depth):
+    rounds, growing = 0, True
+    while growing:
         joined = grown.join(base, (F.col("up") == F.col("__n")) & ~F.array_contains("seen", F.col("up")), "left")
         more = F.col("__n").isNotNull()
         grown = joined.select("node", F.when(more, F.col("__p")).alias("up"), F.when(more, F.concat(F.array("__t"), "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.concat("seen", F.array("__n"))).otherwise(F.col("seen")).alias("seen"))
-        if grown.where("up IS NOT NULL").isEmpty():
-            break
+        rounds += 1
+        if rounds % CUT_EVERY == 0:
+            kept = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+            grown = grown.checkpoint() if kept else grown.localCheckpoint()
+        growing = not grown.where("up IS NOT NULL").isEmpty()
     return grown.select("node", "path")
 
 

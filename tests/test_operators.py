@@ -65,6 +65,13 @@ def test_closure_of_chain(spark):
     assert H.closure(edges).count() == 40 * 41 // 2
 
 
+def test_paths_of_chain_and_cycle(spark):
+    rows = [(i, i - 1 if i else None, f"n{i}") for i in range(50)] + [(100, 101, "x"), (101, 100, "y")]
+    got = {r["node"]: r["path"] for r in H.paths(spark.createDataFrame(rows, "key int, parent int, name string")).collect()}
+    assert all(got[i] == [f"n{k}" for k in range(i + 1)] for i in range(50))
+    assert got[100] == ["y", "x"] and got[101] == ["x", "y"]
+
+
 def test_descendants_of_unknown(spark):
     edges = spark.createDataFrame([(1, None), (2, 1)], "key long, parent long")
     assert H.descendants(edges, [9]).count() == 0
