@@ -11,7 +11,10 @@ little of its text there. The winners, one row per host, are broadcast only if t
 BROADCAST_HOSTS rows; more are joined by a shuffle, whose hot hosts AQE splits.
 
 Within the container everything that is not the article is left out: the elements in SKIP,
-and elements whose class or id names a part that is not the article.
+and elements whose class or id names a part that is not the article. A name that only tells of
+such a part (has-sidebar, comments-open) or heads the article (entry-header) skips nothing, and
+on a page without text in an element named as article, one that holds most of the words outside
+links is kept whatever its name, but comments only where there is nothing else.
 """
 
 from __future__ import annotations
@@ -40,11 +43,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 GOOD = regex.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text|body|page)(?=$|[\s_-]|\d)", regex.I)
 BAD = regex.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|footer|sidebar|side|aside|widget|cookie\w*|consent|notice|popup|modal|overlay|comment\w*|disqus|respond|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|masthead|skip|legal|copyright|disclaimer|tag-?list|pagination|pager)(?=$|[\s_-]|\d)", regex.I)
+#: Class words that tell of a part elsewhere, and heads of the article: they make no element BAD.
+TELLS = regex.compile(r"(?<!\S)(?:(?:\S*[_-])?(?:has|with|no)[_-]\S*|\S*[_-]open|(?:article|content|post|entry|story)[_-]header)(?!\S)", regex.I)
+DISCUSSION = regex.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|respond|reply)(?=$|[\s_-]|\d)", regex.I)
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", regex.S)
 ATTRIBUTE = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
 #: A page keeps its host's path only if that holds this share of the text of its own best container.
 SHARE = 0.5
-#: Elements that are nested deeper count as part of the one at this depth, as in browsers.
+#: Elements that are nested deeper count as part of the one at this depth, as in browsers; they are skipped all the same.
 MAX_DEPTH = 256
 #: Winners (a host and a path, under 1 KB each) that may be broadcast.
 BROADCAST_HOSTS = 20_000
@@ -52,15 +58,18 @@ BROADCAST_HOSTS = 20_000
 
 class Page:
     """Blocks of one page: (text, words less twice those in links, path of container numbers), and its containers:
-    (path, bonus, level). Content in skipped elements is never collected."""
+    (path, bonus, level). Content in skipped elements is never collected; where one skipped by its
+    class or id holds most of the page, the page is parsed once more without skipping it."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()) -> None:
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.containers: list[tuple[str, float, int]] = []
         self.text: list[str] = []
         self.linked = self.links = 0
         self.deeper: Counter[str] = Counter()
-        self.stack: list[tuple[str, str, int, bool]] = []  # name, path, container or -1, skipped
+        self.stack: list[tuple[str, str, int, bool, tuple[int, ...]]] = []  # name, path, container or -1, skipped by name, numbers of those skipped by class or id
+        self.buried: list[tuple[str, int, bool, int]] = []  # skipped below MAX_DEPTH: name, open ones of the name, skipped by name, number
+        self.spared, self.named, self.held, self.unlinked = spared, [], Counter(), 0
         self._open("", "", False)
         at, end = 0, len(html)
         while at < end:
@@ -90,15 +99,20 @@ class Page:
                     self._data(html[at : stop.start() if stop else end])
                 at = stop.start() if stop else end
         self._flush()
-
-    def _open(self, name: str, label: str, skip: bool, bonus: float = 0.0) -> None:
-        top = self.stack[-1] if self.stack else ("", "", -1, False)
+        if self.held and not spared and not any(self.containers[c][1] > 0 for _, _, path in self.blocks for c in path):
+            total = self.unlinked + self.held[-1]
+            large = [k for k, n in self.held.items() if k >= 0 and 2 * n > total and (n == total or not self.named[k])]
+            if large:
+                self.__init__(html, frozenset(large))
+
+    def _open(self, name: str, label: str, skip: bool, bonus: float = 0.0, number_of: int = -1) -> None:
+        top = self.stack[-1] if self.stack else ("", "", -1, False, ())
         path = f"{top[1]}/{label}" if label else ""
         number = -1
         if not name or name in CONTAINERS:
             number = len(self.containers)
             self.containers.append((path, bonus, len(self.stack)))
-        self.stack.append((name, path, number, skip or top[3]))
+        self.stack.append((name, path, number, skip or top[3], top[4] if number_of < 0 else (*top[4], number_of)))
         self.links += name == "a"
 
     def _start(self, name: str, rest: str) -> None:
@@ -110,19 +124,33 @@ class Page:
             self._implied(*ENDS[name])
         if name in VOID:
             return
-        if len(self.stack) >= MAX_DEPTH:
-            self.deeper[name] += 1
-            return
+        deep = len(self.stack) >= MAX_DEPTH
+        self.deeper[name] += deep
         marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if "=" in rest else {}
         if not marks:
-            self._open(name, name, name in SKIP, 2.0 if name in {"article", "main"} else 0.0)
+            if deep:
+                self._bury(name, name in SKIP)
+            else:
+                self._open(name, name, name in SKIP, 2.0 if name in {"article", "main"} else 0.0)
             return
         words = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
-        good, bad = bool(GOOD.search(words)), bool(BAD.search(words))
-        skip = name in SKIP or marks.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"} or (bad and name not in {"html", "body", "article", "main"})
+        good, bad = bool(GOOD.search(words)), bool(BAD.search(words)) and bool(BAD.search(TELLS.sub(" ", words)))
+        skip = name in SKIP or marks.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
+        number = -1
+        if bad and not skip and name not in {"html", "body", "article", "main"}:
+            number = len(self.named)
+            self.named.append(bool(DISCUSSION.search(words)))
+            number = -1 if number in self.spared else number
+        if deep:
+            self._bury(name, skip, number)
+            return
         bonus = (2.0 if name in {"article", "main"} else 1.0 if good else 0.0) - (1.0 if bad else 0.0)
         label = name + "".join(f".{regex.sub(r'[0-9]+', '#', c)}" for c in sorted({*marks.get("class", "").split()}))
-        self._open(name, label, skip, bonus)
+        self._open(name, label, skip, bonus, number)
+
+    def _bury(self, name: str, skip: bool, number: int = -1) -> None:
+        if skip or number >= 0:
+            self.buried.append((name, self.deeper[name], skip, number))
 
     def _implied(self, names: set, stops) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -138,13 +166,18 @@ class Page:
     def _close(self, i: int) -> None:
         """Ends the elements from place i of the stack on."""
         self.links -= sum(s[0] == "a" for s in self.stack[i:])
+        self.buried.clear()
         del self.stack[i:]
 
     def _end(self, name: str) -> None:
         if self.deeper[name]:
-            self.deeper[name] -= 1
             if name in BLOCKS:
                 self._flush()
+            for i, (n, count, _, _) in enumerate(self.buried):
+                if n == name and count == self.deeper[name]:
+                    del self.buried[i:]
+                    break
+            self.deeper[name] -= 1
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == name:
@@ -156,7 +189,13 @@ class Page:
             self._flush()
 
     def _data(self, raw: str) -> None:
-        if self.stack[-1][3]:
+        top = self.stack[-1]
+        if top[3] or any(x[2] for x in self.buried):
+            return
+        if numbers := (*top[4], *(x[3] for x in self.buried)):
+            if not self.links:
+                n = len(raw.split())
+                self.held.update(dict.fromkeys((-1, *numbers), n))
             return
         text = entities.unescape(raw)
         if self.links:
@@ -166,6 +205,7 @@ class Page:
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            self.unlinked += text.count(" ") + 1 - self.linked
             self.blocks.append((text, text.count(" ") + 1 - 2 * self.linked, tuple(s[2] for s in self.stack if s[2] >= 0)))
         self.text, self.linked = [], 0
 

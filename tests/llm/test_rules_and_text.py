@@ -168,6 +168,23 @@ def test_html_cases(html, text):
     assert H.extract(html, None) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='content has-sidebar'><p>the article</p><div class='sidebar'>side</div></div>", "the article"),
+        ("<div id='page' class='content-with-sidebar'><p>the article</p></div><p>rest</p>", "the article\nrest"),
+        ("<div class='post comments-open'><p>the article</p><div class='post-comments'>troll</div></div>", "the article"),
+        ("<div class='post'><div class='entry-header'><h1>Title</h1></div><p>the article</p></div>", "Title\nthe article"),
+        ("<p>rest</p><div class='promo'><p>one two three four five</p></div>", "rest\none two three four five"),
+        ("<div class='content'><p>short article</p><div class='comments'>many many more words of others</div></div>", "short article"),
+        ("<div>" * 300 + "deep<aside>side<p>more</p></aside><div class='comments'>troll<div>x</div>y</div><nav>menu</nav> end" + "</div>" * 300, "deep\nend"),
+        ("<div>" * 256 + "deep<nav>menu" + "</div>" * 256 + "<p>after</p>", "deep\nafter"),
+    ],
+)
+def test_html_keeps_the_whole_article(html, text):
+    assert H.extract(html, None) == text
+
+
 def test_host_consensus(spark):
     """A page whose side column is longer than its article follows its host's other pages."""
     good = "<body><div class='col main1'><p>{}</p></div><div class='extra2'><p>{}</p></div></body>"
