@@ -20,7 +20,8 @@ How buckets are joined. A bucket links to its least document only (a star, linea
 bucket). Candidates must pass the whole sketches' Hamming bound, then an exact count on
 the shingle sets. Only where the linked components still leave a bucket divided are its
 other members compared, across components: in tiles of TILE members a side, by sketches,
-so that only what passes the Hamming bound is ever written. A pair that meets in several
+so that only what passes the Hamming bound is ever written. That gives the components; the links
+property compares all members of each bucket so, whatever their components. A pair that meets in several
 buckets is reported by the least of them that is among both sides' LEAST_KEYS least keys, and by
 all of them where there is none such.
 """
@@ -31,6 +32,7 @@ import hashlib
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -238,8 +240,9 @@ def _tiles(percent: int):
 
 
 class NearDuplicates:
-    """The join over df (id_col, text_col). members: one row per input row; links: verified
-    links between representatives (the least document of equal sets)."""
+    """The join over df (id_col, text_col). members: one row per input row; spanning: verified
+    links between representatives (the least document of equal sets), as many as the components
+    need; links: all of them, joined when they are first asked for."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> None:
         self.percent, self.spark = percent, df.sparkSession
@@ -248,12 +251,27 @@ class NearDuplicates:
         reps = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
         self.members = shared_table(known.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", "rep", "f1", "f2"), "members")
         self.nodes = shared_table(known.join(reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2", "sketch"), "nodes")
-        buckets = self._buckets()
+        self.buckets = buckets = self._buckets()
         release(self.spark)
         links = self._links(buckets.where("doc_id <> pivot").select(F.col("pivot").alias("p"), "doc_id").distinct())
         rest = self._divided(buckets, components(links, "stars"))
         release(self.spark)
-        self.links = links.unionByName(self._verify(rest))
+        self.spanning = links.unionByName(self._verify(rest))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(a, b): every link between representatives, a < b. The pairs of each bucket are compared
+        as if no component were known yet; their number can grow with the square of a group's."""
+        alone = self.nodes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
+        pairs = self._divided(self.buckets, alone).join(self.spanning, ["a", "b"], "left_anti")
+        return shared_table(self.spanning.unionByName(self._verify(pairs)).distinct(), "all-links")
+
+    def link_counts(self) -> DataFrame:
+        """One row per input row: doc_id, n_shingles, n_links: the rows with another set that link with it."""
+        both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        sizes = self.members.where("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        counts = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+        return self.members.join(counts, "rep", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
     def _buckets(self) -> DataFrame:
         """(key, doc_id, pivot, n): rows of the keys that two documents or more share."""
@@ -300,8 +318,8 @@ class NearDuplicates:
         return shared_table(tiled.distinct(), "pairs")
 
     def components(self) -> DataFrame:
-        """One row per input row: doc_id, n_shingles, component_id, group_links."""
-        found = components(self.links, "near").withColumnRenamed("node", "rep")
+        """One row per input row: doc_id, n_shingles, component_id."""
+        found = components(self.spanning, "near").withColumnRenamed("node", "rep")
         return self.members.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 

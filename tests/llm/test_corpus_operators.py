@@ -163,6 +163,28 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()) == [(-1, 1, 3), (3, 1, 3), (3, 1, 3), (4, 0, 4)]
 
 
+@pytest.mark.parametrize("hot, tile", [(16, 512), (3, 4)])
+def test_near_duplicate_links_are_all(spark, monkeypatch, hot, tile):
+    """Cliques and random near copies against every pair."""
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "TILE", tile)
+    random.seed(9)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for i in range(30):
+        words = list(base)
+        for _ in range(random.randrange(1, 4)):
+            words[random.randrange(120)] = f"v{i}x{random.randrange(99)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100, docs[3][1]), (101, None)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in docs if t and (w := t.split(" "))}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= N.PERCENT * len(sets[a] | sets[b])]
+    near = N.NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((r["a"], r["b"]) for r in near.links.collect())
+    assert got == sorted(p for p in linked if 100 not in p) and len(got) > 60
+    counts = {r["doc_id"]: r["n_links"] for r in near.link_counts().collect()}
+    assert counts == {i: sum(i in p and sets[p[0]] != sets[p[1]] for p in linked) for i, _ in docs}
+
+
 def test_components(spark):
     random.seed(1)
     links = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 130)] + [(200, 202), (202, 201), (7, 7)] + [(random.randrange(300, 400), random.randrange(300, 400)) for _ in range(80)]
