@@ -6,6 +6,10 @@ unigrams and bigrams of words hashed into BUCKETS counters; the weights (log rat
 add-one estimates, in millionths, as integers, so that sums don't depend on their order)
 are one row, whose size BUCKETS bounds, and enter the scoring pass as a scalar subquery.
 A document's score is the mean weight of its n-grams; it passes at THRESHOLD or more.
+
+Counting moves no texts while the trusted ids are at most BROADCAST_IDS: they are broadcast to one
+scan. Beyond that the raw n-grams come straight from a scan, and only those of the target from a
+semi-join that shuffles texts, without null ids.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ BUCKETS = 1 << 14
 #: Mean log-likelihood ratio below which a text is rejected. Trusted texts score about 0.
 THRESHOLD = -0.05
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
+#: Trusted ids (8 bytes each, and the hash table's share) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -29,6 +35,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+
+
 def _repeated(words: Column) -> Column:
     """Words in windows of WINDOW words that the text holds twice or more. Windows compare by
     64-bit hash: sorting is needed only where some hash repeats."""
@@ -48,7 +58,7 @@ def base_rules(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return let(
-        F.regexp_extract_all(text, F.lit(f"({WORD})")),
+        split_words(text),
         lambda w: F.struct(
             w.alias("words"),
             F.size(w).cast("long").alias("n_words"),
@@ -72,13 +82,14 @@ def gram_buckets(words: Column) -> Column:
 
 def gram_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: weights, an array of BUCKETS longs. docs: doc_id, text; trusted: doc_id, distinct.
-
-    The one shuffle of the texts brings them to the trusted ids, so that nothing that
-    grows with the corpus is broadcast; the counters are combined in the map tasks."""
-    marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"))
-    grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("t"), F.explode(let(words, gram_buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    The counters are combined in the map tasks."""
+    if trusted.count() <= BROADCAST_IDS:
+        marked = docs.join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left").select("text", F.lit(1).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    else:
+        once = docs.join(trusted, "doc_id", "left_semi")
+        marked = docs.select("text", F.lit(1).alias("raw"), F.lit(0).alias("target")).unionByName(once.select("text", F.lit(0).alias("raw"), F.lit(1).alias("target")))
+    grams = marked.select("raw", "target", F.explode(let(split_words(F.coalesce("text", F.lit(""))), gram_buckets)).alias("b"))
+    counts = grams.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     filled = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = filled.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("all"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     weight = lambda x: F.round(1e6 * (F.log((x["target"] + 1) / (F.col("targets") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("raws") + BUCKETS)))).cast("long")
@@ -91,7 +102,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     Target: texts whose id labels marks quality = 1 (any of its rows); raw: all texts. Null
     and empty texts have no words and fail the base rules; their score is 0. Without
     trusted texts, or without any text, all weights tend to 0 and the base rules decide
-    alone. Repeated rows are judged alike; other columns are ignored.
+    alone. Repeated rows are judged alike; long texts count whole; other columns are ignored; an
+    empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
