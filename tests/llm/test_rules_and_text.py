@@ -32,7 +32,10 @@ def spark_hash(*words):
     return h - (1 << 64) if h >> 63 else h
 
 
-def test_quality_rules(spark, sf_dir):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_quality_rules(spark, sf_dir, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(Q, "BROADCAST_IDS", 0)
     docs = documents(spark, sf_dir)
     labels = spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(0, 120, 2)] + [(None, 1, 0), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -99,33 +102,84 @@ def check_sql(spark, name, tables, query):
     assert sorted(map(show, out.collect())) == sorted(map(show, cursor.fetchall()))
 
 
-def test_license_scan_cases(spark, sf_dir):
-    texts = [None, "", "All Rights Reserved", "all  rights-reserved!", "Licensed under CC BY-NC 4.0.", "licensed under the apache license version 2.0", "This is under the General Public License", "xcc by", "cc\nby", "the MIT: permission is hereby granted free of charge to any person obtaining a copy of software", "é all rights reservedé", "a b " * 20000 + "\nAll rights reserved."]
-    df = spark.createDataFrame(list(enumerate([*texts, *texts[:3]])), "doc_id long, text string")
-    check_sql(spark, "op4_license_scan", {"documents": df}, L.license_scan(df.withColumns({"n_words": F.lit(0), "labels": F.lit("x")})))
-    got = {r["doc_id"]: (r["labels"], r["first_word"]) for r in L.license_scan(df).collect()}
-    assert got[2] == ("reserved", 0) and "apache-2.0" in got[5][0] and "mit" in got[9][0] and got[7] == ("", None)
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LICENSE_CASES = [
+    (None, ""),
+    ("", ""),
+    ("All Rights Reserved", "reserved"),
+    ("all  rights-reserved!", "reserved"),
+    ("He has all the rights he wanted, though the table was reserved by her.", ""),
+    ("Licensed under CC BY 4.0.", "cc-by"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by,cc-by-nc-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("This program is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "gpl,lgpl-3.0"),
+    ("licensed under the apache license version 2.0", "apache-2.0"),
+    ("This is under the General Public License", "gpl"),
+    (BSD_TEXT, "bsd"),
+    ("// " + BSD_TEXT.replace("\n", "\n// "), "bsd"),
+    (MPL_TEXT, "mpl-2.0"),
+    (L.TEMPLATES[8][2], "mit"),
+    ("words before " * 300 + L.TEMPLATES[10][2].replace(" ", "\n") + " and after" * 500, "bsd"),
+    ("permission person software copy charge granted free obtaining hereby any this is to of a", ""),
+    ("xcc by", ""),
+    ("cc\nby", "cc-by"),
+    ("é all rights reservedé", ""),
+    ("a b " * 20000 + "\nAll rights reserved.", "reserved"),
+]
 
 
-def test_license_join_is_exact(spark):
-    """Against all lines times all templates, over random lines of template words."""
+def test_license_scan_cases(spark, sf_dir):
+    texts = [t for t, _ in LICENSE_CASES]
+    shuffled = " ".join(sorted(w for _, _, t in L.TEMPLATES for w in L._words(t)))
+    rows = [*enumerate(texts), (3, "no licence under a repeated id"), (None, MPL_TEXT), (None, None), (900, (shuffled + " ") * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_sql(spark, "op4_license_scan", {"documents": df}, L.license_scan(df.withColumns({"n_words": F.lit(0), "labels": F.lit("x"), "row": F.lit(1), "t": F.lit("y")})))
+    got = [(r["doc_id"], r["labels"]) for r in L.license_scan(df).collect()]
+    assert sorted(x for x in got if x[0] is not None and x[0] != 900) == sorted([*((i, want) for i, (_, want) in enumerate(LICENSE_CASES)), (3, "")])
+    assert sorted(x[1] for x in got if x[0] is None) == ["", "mpl-2.0"] and (900, "") in got
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_license_join_is_exact(spark, monkeypatch, broadcast):
+    """Against all windows times all templates, over random mixtures of template runs."""
     import random
 
+    if not broadcast:
+        monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
     random.seed(2)
-    words = sorted({w for _, t in L.TEMPLATES for w in L._tokens(t)})
+    every = [L._words(t) for _, _, t in L.TEMPLATES]
     texts = []
-    for i in range(300):
-        base = L._tokens(random.choice(L.TEMPLATES)[1])
-        texts.append((i, "\n".join(" ".join(random.sample(base, random.randrange(1, len(base) + 1)) + random.sample(words, 3)) for _ in range(3))))
-    got = {(r["doc_id"], r["block"], r["label"]) for r in L.block_hits(spark.createDataFrame(texts, "doc_id long, t string"), "doc_id").collect()}
+    for i in range(200):
+        words = []
+        for _ in range(random.randrange(1, 4)):
+            run = list(random.choice(every))
+            for _ in range(random.randrange(0, 1 + len(run) // 8)):
+                run[random.randrange(len(run))] = random.choice(["x", "the", "license"])
+            words += ["and"] * random.randrange(0, 40) + run[: random.randrange(len(run) // 2, len(run) + 1)]
+        texts.append((i, "\n".join(words)))
+    rows = L.template_rows(L.TEMPLATES, L.CONTAINMENT)
+    docs = L.described(spark.createDataFrame(texts, "doc_id long, t string"), sorted({r[2] for r in rows}), min(r[5] for r in rows))
+    ids = {r["row"]: r["doc_id"] for r in docs.select("row", "doc_id").collect()}
+    got = {(ids[r["row"]], r["first"], r["label"], round(r["containment"], 9)) for r in L.block_hits(docs, rows).collect()}
     want = set()
     for i, t in texts:
-        for b, line in enumerate(t.split("\n")):
-            for label, template in L.TEMPLATES:
-                have = set(L._tokens(template))
-                if len(have & set(re.findall(L.TOKEN, line))) >= math.ceil(L.CONTAINMENT * len(have) - 1e-9):
-                    want.add((i, b, label))
-    assert got == want and want
+        words = L._words(t)
+        for k, (label, _, _) in enumerate(L.TEMPLATES):
+            mine = [r for r in rows if r[0] == k]
+            have, must, (size, need, stride) = {r[2] for r in mine}, {r[2] for r in mine if r[3]}, mine[0][4:]
+            for first in range(0, len(words), stride):
+                block = words[first : first + 2 * stride]
+                both = have & {f"{a} {b}" for a, b in zip(block, block[1:], strict=False)}
+                if len(both) >= need and must <= both:
+                    want.add((i, first, label, round(len(both) / size, 9)))
+    assert got == want and len(want) > 200
 
 
 URLS = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "https://Example.ORG/es/x?y", "https://sub.example.org/en/17#z", "https://example.org/en/2", "http://fr.com/fr/", "http://x.com/de/a", "http://x.com/de", "http://com/fr/a", "http://xorg/", "ftp://a.org?q=/es/", "http://a.b.com//de/", "http://http://org/x"]
