@@ -4,13 +4,16 @@ Features of a word, hashed into one weight table: the word, its first 3 to 6 byt
 before and after it. The labels are of documents; words of toxic documents count as toxic for
 learning where one of their own features is significantly more frequent, by documents, in toxic
 than in clean rows of the sample. The field is fitted on the driver on a bounded sample
-(MAX_TOXIC and MAX_CLEAN labelled rows, chosen by a hash of the id, without the held-out
-rows); every whole text is then scored in one pass with nothing shuffled.
+(MAX_TOXIC and MAX_CLEAN labelled rows and MAX_BYTES bytes of text, chosen by a hash of the id,
+without the held-out rows); every whole text is then scored in one pass with nothing shuffled.
 
 Forward and backward run exactly over whole texts: all texts of a chunk form one chain with
 a reset at every first word, cut into blocks whose 2 x 2 transfer products are computed side
-by side. A document's score is 1 - exp(-sum of the marginals' fourth powers): one
-surely toxic word gives 0.63, thousands of words of little suspicion give about 0.
+by side. A document's score is 1 - exp(-rate * sum of the marginals' powers). The exponent comes
+from cross-validation: fields fitted on one half of the sample score the other, and the one of
+POWERS with the best F-score is taken. The rate puts at THRESHOLD the sum with the best F-score over
+the sample under the field fitted on all of it, the mean of the sums beside it: fields of
+half the sample give smaller sums, so their cut doesn't carry over.
 """
 
 from __future__ import annotations
@@ -19,19 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U64, Prefix, chunks, joined, memo, mix
 from .common import read
 
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
+#: Bytes of text in the sample; of single texts, a 64th. Longer ones are not learned from, but scored.
+MAX_BYTES = 64 << 20
 TABLE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD, SPAN_AT = 0.3, 0.5
-STEPS, RATE, L2, POWER = 20, 0.6, 1e-5, 4
+STEPS, RATE, L2 = 20, 0.6, 1e-5
+#: Exponents of the marginals to choose from, the first one where there is nothing to choose by.
+POWERS = (3, 4, 8)
 #: A feature marks a word as toxic for learning if its log odds, less DEVIATIONS standard errors, exceed this.
-LEAST_ODDS, DEVIATIONS = 2.0, 1.5
+LEAST_ODDS, DEVIATIONS = 0.7, 1.5
 
 
 @memo
@@ -126,11 +133,56 @@ def marginals(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
     return p[:, 1] / p.sum(axis=1), pair, head
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each text's values."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def best_cut(sums: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(F-score, cut) of the best rule sum >= cut; the cut is the mean of the sums beside it.
+    Precision weighs twice recall, since labels are noisy and clean documents
+    are to stay. Of equally good cuts the lowest is taken."""
+    values = np.unique(np.append(sums, max(1.0, 2 * sums.max())))
+    ends = (values[:-1] + values[1:]) / 2
+    marked = len(sums) - np.searchsorted(np.sort(sums), ends)
+    caught = toxic.sum() - np.searchsorted(np.sort(sums[toxic == 1]), ends)
+    f = 1.25 * caught / np.maximum(1, marked + 0.25 * toxic.sum())
+    return float(f.max()), float(ends[int(np.argmax(f))])
+
+
 class ToxicityModel:
-    """weights of the features for state 1, a bias, transitions and start, all log potentials."""
+    """weights of the features for state 1, a bias, transitions and start, all log potentials; power
+    and rate of the document score."""
+
+    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, start: np.ndarray, power: int = POWERS[0], rate: float = 1.0) -> None:
+        self.weights, self.bias, self.trans, self.start, self.power, self.rate = weights, bias, trans, start, power, rate
+
+    @classmethod
+    def calibrated(cls, texts: list[bytes], toxic: list[int]) -> ToxicityModel:
+        """The field fitted on all rows, its exponent chosen by cross-validation over two halves."""
+        model, toxic = cls.fit(texts, toxic), np.asarray(toxic, int)
+        if not toxic.any() or toxic.all():
+            return model
+        half, tried = np.arange(len(texts)) % 2, {p: np.zeros(len(texts)) for p in POWERS}
+        for side in (0, 1):
+            rest, mine = np.flatnonzero(half != side), np.flatnonzero(half == side)
+            found = cls.fit([texts[i] for i in rest], toxic[rest].tolist()).sums([texts[i] for i in mine])
+            for p in POWERS:
+                tried[p][mine] = found[p]
+        model.power = max(POWERS, key=lambda p: best_cut(tried[p], toxic)[0])
+        model.rate = -np.log(1 - THRESHOLD) / best_cut(model.sums(texts)[model.power], toxic)[1]
+        return model
 
-    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, start: np.ndarray) -> None:
-        self.weights, self.bias, self.trans, self.start = weights, bias, trans, start
+    def sums(self, texts: list[bytes]) -> dict[int, np.ndarray]:
+        """For each of POWERS, the sums of the words' probabilities to that power."""
+        out = {p: np.zeros(len(texts)) for p in POWERS}
+        for first, group in chunks(texts):
+            t = tokens(group)
+            q = self.words(t)
+            for p in POWERS:
+                out[p][first : first + len(group)] = _sums(q**p, t["first"])
+        return out
 
     @classmethod
     def fit(cls, texts: list[bytes], toxic: list[int]) -> ToxicityModel:
@@ -182,6 +234,12 @@ class ToxicityModel:
     def potentials(self, features: np.ndarray) -> np.ndarray:
         return self.weights[features].sum(axis=1, dtype=np.float64) + self.bias
 
+    def words(self, t: dict[str, np.ndarray]) -> np.ndarray:
+        """Probability of each word to be toxic."""
+        if not len(t["starts"]):
+            return np.zeros(0)
+        return marginals(self.potentials(t["features"]), t["first"], self.trans, self.start)[0]
+
     def score(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """Score and offending spans (characters from, to; probability) of each text."""
         scores, spans = [], []
@@ -191,9 +249,8 @@ class ToxicityModel:
                 scores += [0.0] * len(group)
                 spans += [[] for _ in group]
                 continue
-            p = marginals(self.potentials(t["features"]), t["first"], self.trans, self.start)[0]
-            sums = np.concatenate([[0.0], np.cumsum(p**POWER)])
-            scores += (1 - np.exp(-(sums[t["first"][1:]] - sums[t["first"][:-1]]))).clip(0, 1).tolist()
+            p = self.words(t)
+            scores += (1 - np.exp(-self.rate * _sums(p**self.power, t["first"]))).clip(0, 1).tolist()
             chars = np.concatenate([[0], np.cumsum((t["data"] & 0xC0) != 0x80)])
             hits = np.flatnonzero(p >= SPAN_AT)
             of = np.searchsorted(t["first"], hits, side="right") - 1
@@ -209,20 +266,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
-    """Fits on at most max_toxic + max_clean labelled rows that are not held out."""
-    usable = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Fits on at most max_toxic + max_clean labelled rows that are not held out, and max_bytes of their
+    texts, in the order of a hash of the id. Of rows that repeat an id the least text counts; of labels
+    that contradict each other, toxic."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(usable.where("toxic = 0").orderBy(*order).limit(max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # at most max_toxic + max_clean ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return ToxicityModel.fit([(r["text"] or "").encode() for r in rows], [r["toxic"] for r in rows])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes // 64)
+    found = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most max_toxic + max_clean ids
+    rows = found.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order))).where(F.col("bytes") <= max_bytes // 2).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return ToxicityModel.calibrated([r["text"].encode() for r in rows], [r["toxic"] for r in rows])
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, spans. Null and empty texts, and
-    texts without words, have score 0. Repeated rows score alike; other columns are ignored;
-    an empty table gives an empty result."""
+    texts without words, have score 0. Long texts are scored whole. Ids may be null or repeat: each row
+    scores by its own text. Other columns are ignored; an empty table gives an empty result. Spans
+    are characters from (included) to (excluded), with the word's probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("p", pa.float64())]))
@@ -249,4 +311,4 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = learn(docs, read(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")

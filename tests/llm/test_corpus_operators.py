@@ -322,6 +322,46 @@ def test_toxicity(spark):
     assert spans and spans <= {"zorg", "zorgen", "zorgly", "nurf"}
 
 
+def test_document_scores_by_enumeration():
+    """Scores and spans of short texts against the sum over all taggings."""
+    rows = toxic_rows(160)
+    model = X.ToxicityModel.calibrated([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    texts = ["zorg ban", "", "é zorg, nurf lan!", "ban bor bit", "Nurf!", "-- zorgen - mit kel zorg dan"]
+    scores, spans = model.score([t.encode() for t in texts])
+    for text, score, found in zip(texts, scores, spans, strict=True):
+        u = model.potentials(X.tokens([text.encode()])["features"])
+        total, one = 0.0, np.zeros(len(u))
+        for y in itertools.product((0, 1), repeat=len(u)):
+            w = np.exp(sum(model.start[y[k]] if k == 0 else model.trans[y[k - 1], y[k]] for k in range(len(y))) + u @ np.array(y)) if y else 1.0
+            total += w
+            one += w * np.array(y)
+        p = one / total
+        assert abs(score - (1 - np.exp(-model.rate * (p**model.power).sum()))) < 1e-6
+        words = [m.span() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)]
+        assert [(s["from"], s["to"]) for s in found] == [x for x, q in zip(words, p, strict=True) if q >= X.SPAN_AT]
+    assert scores[0] >= X.THRESHOLD > scores[3]
+
+
+def test_best_cut():
+    sums, toxic = np.array([0.0, 0.0, 0.1, 0.4, 0.9]), np.array([0, 0, 0, 1, 1])
+    assert X.best_cut(sums, toxic) == (1.0, pytest.approx(0.25))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = toxic_rows(80)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, "a a"), (1, "a a"), (None, "x"), (0, "long " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (2, 1, None), (4, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = X.ToxicityModel.calibrated
+    try:
+        X.ToxicityModel.calibrated = classmethod(lambda cls, texts, toxic: seen.append((texts, toxic)) or real(texts, toxic))
+        X.learn(docs, labels, max_toxic=9, max_clean=12, max_bytes=64 * 400)
+    finally:
+        X.ToxicityModel.calibrated = real
+    texts, toxic = seen[0]
+    assert 0 < sum(toxic) <= 9 and 0 < len(toxic) - sum(toxic) <= 12 and max(map(len, texts)) <= 400 and sum(map(len, texts)) <= 64 * 400
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
