@@ -52,9 +52,14 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     so that an executor lost later costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stackroom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, path)
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Writes df as Parquet to a path, in place of what a failed run left there, and rereads it."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

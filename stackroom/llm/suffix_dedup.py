@@ -1,45 +1,57 @@
 """Removal of repeated byte strings by a logarithmic family of suffix arrays.
 
-A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller
-document, or earlier in the same one. The windows (strings of LENGTH bytes) are cut into
+A byte goes if a string of LENGTH bytes that covers it also starts earlier: in an earlier
+document, or earlier in the same one. Documents are ordered by batch, then by id, null ids last,
+then by row, so ids may be null or repeat. The windows (strings of LENGTH bytes) are cut into
 units: runs of neighbouring windows whose smallest GRAM-byte hash is the same (as in
 winnowing). Equal windows have the same smallest hash, so they meet in the same unit key;
 about one unit arises every 34 bytes.
 
-1. Units (key, hash of the unit's bytes, document, place) are sorted by key. A unit whose
-   bytes repeat those of an earlier unit goes as a whole. Those that repeat a unit of their own
+1. Units (key, hash of the unit's bytes, document, place) are sorted by key, together with those
+   of earlier batches under the same keys. A unit whose bytes repeat those of an earlier unit goes
+   as a whole, by hash. Those that repeat a unit of their own
    chunk of texts are marked there and dealt by a hash of their place, so that a passage which
    many documents share doesn't gather in one task. A key that only one byte string has,
    with its smallest gram once, needs no more: most of the corpus ends here, without its bytes being moved.
 2. The first units of byte strings under a key with several are cut from their texts and
    dealt by key. Each task takes them in document order, in batches of BATCH windows. A batch
-   gets the suffix array of its windows' starts (sorted by the LENGTH bytes there, which is as far
-   as order matters); windows equal to an earlier one of the batch go; the rest are merge-scanned
-   against every level of the index for full-length matches, and those found go. What remains
-   becomes a new level, and levels of equal size class are merged until sizes are geometric.
+   gets its suffix array: the places of its windows in the batch's bytes, ordered by prefix doubling up
+   to LENGTH bytes, so that neighbours with a common prefix of LENGTH have the same rank; all but the
+   first of them go. The rest are merge-scanned against every level of the index for such
+   matches, and those found go. What remains becomes a new level, and levels of equal size class
+   are merged until sizes are geometric. A level is its bytes and an array of places in them; windows
+   are copied only for the block under comparison.
    A key with more than HOT byte strings is dealt by its windows' own hashes instead.
 3. Removed windows, as ranges, are brought to their documents; the covered bytes are cut out.
 
-Unit and window keys are 64-bit hashes, and whole units compare by two of them, 128 bits.
+RepeatIndex keeps the family between runs, as tables in a shared folder: each batch's texts, and
+levels of first units (places, no bytes), of which those of equal size class are merged.
+
+Unit and window keys are 64-bit hashes; whole units under the same key compare by another 64 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U64, Prefix, chunks, mix, sliced
-from .common import read, release, shared_table
+from .common import read, release, shared_table, write_table
 
 LENGTH, GRAM = 100, 32
 BATCH, HOT = 50_000, 2048
-#: Windows that a task indexes, about; at LENGTH bytes each they bound its memory.
+#: Windows that a task indexes, about.
 TASK_WINDOWS = 500_000
+#: Suffixes of a level that are copied for comparison at once.
+BLOCK = 8192
+#: A row's number holds its batch above these bits.
+BATCH_BITS = 48
+LAST_ID = (1 << 63) - 1
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,40 +101,96 @@ def units(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return doc[first], key, body, first - base[doc[first]], ends - first, twice
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Ranks of the values from 0, equal ones equal."""
+    order = np.argsort(values, kind="stable")
+    ordered, rank = values[order], np.empty(len(values), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return rank
+
+
+def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of all suffixes of a byte array by their first length bytes (zeros after the end), by
+    doubling the prefix: two ranks of k bytes, side by side or overlapping, rank up to 2 k bytes."""
+    if not len(text):
+        return np.zeros(0, np.int64)
+    have = min(8, length)
+    padded, word = np.concatenate([text, np.zeros(have, np.uint8)]), np.zeros(len(text), U64)
+    for k in range(have):
+        word = word << U64(8) | padded[k : k + len(text)]
+    rank = _dense(word)
+    while have < length:
+        step = min(have, length - have)
+        after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])
+        rank = _dense(rank * (len(rank) + 1) + after)
+        have += step
+    return rank
+
+
+class Suffixes:
+    """A level: bytes, and the places in them of its suffixes in the order of their first length
+    bytes, no two the same."""
+
+    def __init__(self, text: np.ndarray, places: np.ndarray, length: int) -> None:
+        self.text, self.places, self.length = text, places, length
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def windows(self, low: int, high: int) -> np.ndarray:
+        """Copies of some suffixes' first bytes; a last byte 1 keeps closing zero bytes."""
+        out = np.ones((max(0, high - low), self.length + 1), np.uint8)
+        if len(out):
+            out[:, : self.length] = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.places[low:high]]
+        return out.view(f"S{self.length + 1}").ravel()
+
+    def scan(self, other: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """Merge scan: for each suffix of other, its place in the order of this level, and whether
+        this level holds it."""
+        spot, held, done = np.full(len(other), len(self), np.int64), np.zeros(len(other), bool), 0
+        for low in range(0, len(self), BLOCK):
+            block = self.windows(low, min(low + BLOCK, len(self)))
+            end = bisect_right(range(len(other)), block[-1], lo=done, key=lambda i: other.windows(i, i + 1)[0])
+            for first in range(done, end, BLOCK):
+                past = min(first + BLOCK, end)
+                mine = other.windows(first, past)
+                at = np.searchsorted(block, mine)
+                spot[first:past], held[first:past] = low + at, block[np.minimum(at, len(block) - 1)] == mine
+            done = end
+        return spot, held
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        spot, _ = self.scan(other)
+        return Suffixes(np.concatenate([self.text, other.text]), np.insert(self.places, spot, other.places + len(self.text)), self.length)
+
+
 class SuffixLevels:
-    """The index family: each level is a sorted array of windows, its size class a power of two
-    of the batch; no two levels have the same class."""
+    """The index family within a task: no two levels have the same size class, a power of two."""
 
     def __init__(self, length: int) -> None:
-        self.kind, self.levels = f"S{length + 1}", {}
-
-    def seen(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the sorted windows some level holds (a merge scan of both sorted arrays)."""
-        found = np.zeros(len(windows), bool)
+        self.length, self.levels = length, {}
+
+    def take(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which of the windows at the starts, in document order, stand earlier in them or in some
+        level. The others become a level."""
+        rank = suffix_ranks(text, self.length)[starts]
+        array = np.argsort(rank, kind="stable")  # the suffix array; ties keep their order
+        gone = np.zeros(len(starts), bool)
+        gone[array[1:]] = rank[array[1:]] == rank[array[:-1]]
+        array = array[~gone[array]]
+        new = Suffixes(text, starts[array], self.length)
+        known = np.zeros(len(new), bool)
         for level in self.levels.values():
-            at = np.searchsorted(level, windows)
-            found |= level[np.minimum(at, len(level) - 1)] == windows
-        return found
-
-    def add(self, windows: np.ndarray) -> None:
-        """Adds sorted windows that no level holds."""
-        while len(windows):
-            size = int(len(windows)).bit_length()
+            known |= level.scan(new)[1]
+        gone[array[known]] = True
+        new = Suffixes(text, new.places[~known], self.length)
+        while len(new):
+            size = len(new).bit_length()
             if (other := self.levels.pop(size, None)) is None:
-                self.levels[size] = windows
-                return
-            windows = np.sort(np.concatenate([other, windows]), kind="stable")
-
-
-def _as_windows(spans: list[bytes], length: int) -> np.ndarray:
-    """All windows of all spans, in order; a last byte 1 keeps closing zero bytes."""
-    rows = []
-    for span in spans:
-        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(span, np.uint8), length)
-        padded = np.ones((len(view), length + 1), np.uint8)
-        padded[:, :length] = view
-        rows.append(padded)
-    return np.concatenate(rows).view(f"S{length + 1}").ravel() if rows else np.zeros(0, f"S{length + 1}")
+                self.levels[size] = new
+                break
+            new = other.merged(new)
+        return gone
 
 
 def _ranges(order: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -133,67 +201,61 @@ def _ranges(order: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _scan(length: int, batch_windows: int):
-    """mapInArrow function over (doc_id, place, span) in order of document and place: the removed
-    windows as (doc_id, first, past)."""
+    """mapInArrow function over (row, place, span) in order of document and place: the removed
+    windows as (row, first, past)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SuffixLevels(length)
 
-        def flush(ids: list, places: list, spans: list) -> pa.RecordBatch:
-            windows = _as_windows(spans, length)
-            array = np.argsort(windows, kind="stable")  # the batch's suffix array; ties keep their order
-            ordered = windows[array]
-            again = np.zeros(len(ordered), bool)
-            again[1:] = ordered[1:] == ordered[:-1]
-            known = index.seen(ordered)
-            index.add(ordered[~again & ~known])
-            gone = np.zeros(len(windows), bool)
-            gone[array[again | known]] = True
-            out, at = [], 0
-            for i, p, s in zip(ids, places, spans, strict=True):
-                n = len(s) - length + 1
-                out += [(i, p + a, p + b) for a, b in _ranges(np.flatnonzero(gone[at : at + n]))]
-                at += n
+        def flush(rows: list, places: list, spans: list) -> pa.RecordBatch:
+            counts = np.array([len(s) - length + 1 for s in spans])
+            base = np.cumsum([0, *(len(s) for s in spans[:-1])])
+            ends = np.cumsum(counts)
+            starts = np.arange(ends[-1]) + np.repeat(base - (ends - counts), counts)
+            gone = index.take(np.frombuffer(b"".join(spans), np.uint8), starts)
+            out = [(r, p + a, p + b) for r, p, n, z in zip(rows, places, counts.tolist(), ends.tolist(), strict=True) for a, b in _ranges(np.flatnonzero(gone[z - n : z]))]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "first", "past"])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["row", "first", "past"])
 
-        ids, places, spans, size = [], [], [], 0
+        rows, places, spans, size = [], [], [], 0
         for b in batches:
-            for i, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids.append(i)
+            for r, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.append(r)
                 places.append(p)
                 spans.append(s)
                 size += len(s) - length + 1
                 if size >= batch_windows:
-                    yield flush(ids, places, spans)
-                    ids, places, spans, size = [], [], [], 0
+                    yield flush(rows, places, spans)
+                    rows, places, spans, size = [], [], [], 0
         if size:
-            yield flush(ids, places, spans)
+            yield flush(rows, places, spans)
 
     return run
 
 
 def _cut(length: int):
-    """mapInArrow function over (doc_id, text, wanted): the spans of the wanted units."""
+    """mapInArrow function over (row, doc_id, text, wanted): the spans of the wanted units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 1):
-            keys, ids, places, spans = [], [], [], []
-            for i, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for b in sliced(batches, 2):
+            keys, ids, ords, places, spans = [], [], [], [], []
+            for i, o, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for w in wanted or ():
                     p, n = w["place"], w["windows"]
                     if w["hot"]:
                         own = mix(Prefix(np.frombuffer(text[p : p + n + length - 1], np.uint8)).span(np.arange(n), np.arange(n) + length)).view(np.int64)
                         keys += own.tolist()
                         ids += [i] * n
+                        ords += [LAST_ID if o is None else o] * n
                         places += range(p, p + n)
                         spans += [text[p + k : p + k + length] for k in range(n)]
                     else:
                         keys.append(w["key"])
                         ids.append(i)
+                        ords.append(LAST_ID if o is None else o)
                         places.append(p)
                         spans.append(text[p : p + n + length - 1])
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(spans, pa.binary())], ["key", "doc_id", "place", "span"])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in (keys, ids, ords, places)), pa.array(spans, pa.binary())], ["key", "row", "ord", "place", "span"])
 
     return run
 
@@ -225,50 +287,119 @@ def _kept(length: int):
 
 
 def _list_units(length: int, gram: int):
+    """mapInArrow function over (row, ord, text): (key, body, ord, row, spot) of all units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for first, group in chunks(b.column(1)):
+            rows, ords = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for first, group in chunks(b.column(2)):
                 doc, key, body, place, n, twice = units(group, length, gram)
-                owner = ids[first + doc].astype(np.int64) if len(doc) else doc
+                row, ord_ = rows[first + doc], ords[first + doc]
                 both = mix(key) ^ body
-                order = np.lexsort((place, owner, both))
+                order = np.lexsort((place, row, ord_, both))
                 sure = np.zeros(len(key), bool)
                 sure[order[1:]] = both[order[1:]] == both[order[:-1]]
-                key = np.where(sure, mix(body ^ mix(owner.astype(U64) << U64(32) ^ place.astype(U64))), key)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), pa.array(owner), pa.array(place << 32 | n << 2 | sure << 1 | twice)], ["key", "body", "doc_id", "spot"])
+                key = np.where(sure, mix(body ^ mix(row.astype(U64) << U64(32) ^ place.astype(U64))), key)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), pa.array(ord_), pa.array(row), pa.array(place << 32 | n << 2 | sure << 1 | twice)], ["key", "body", "ord", "row", "spot"])
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
+def _numbered(df: DataFrame, id_col: str, text_col: str, batch: int = 0) -> DataFrame:
+    """row (unique; its batch above BATCH_BITS), doc_id, ord (orders documents by id, null ids last), text."""
+    row = F.monotonically_increasing_id() + F.lit(batch << BATCH_BITS).cast("long")
+    return df.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.col(text_col).alias("text"))
 
-    Null counts as empty. Rows with a null id keep their text and take no part. Ids should be
-    distinct: rows that repeat an id get each other's removals. Other columns are ignored; an empty
-    table gives an empty result.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    listed = named.mapInArrow(_list_units(length, gram), "key long, body long, doc_id long, spot long").repartition("key")
-    copies = Window.partitionBy("key", "body").orderBy("doc_id", "spot")
+
+def _marked(docs: DataFrame, past: DataFrame | None, length: int, gram: int) -> DataFrame:
+    """The units of docs, and those of past units that share a key, with their verdicts: repeat, apart (its
+    windows are to be compared), hot."""
+    units_of = "key long, body long, ord long, row long, spot long"
+    listed = docs.where("text IS NOT NULL").select("row", "ord", "text").mapInArrow(_list_units(length, gram), units_of)
+    if past is not None:
+        listed = listed.unionByName(past.join(listed.select("key").distinct(), "key", "left_semi").select("key", "body", "ord", "row", "spot"))
+    listed = listed.repartition("key")
+    copies = Window.partitionBy("key", "body").orderBy(F.shiftright("row", BATCH_BITS), "ord", "row", "spot")
     same = Window.partitionBy("key")
     marked = listed.withColumn("copy", F.row_number().over(copies)).withColumns({"least": F.min("body").over(same), "most": F.max("body").over(same), "n": F.sum(F.when(F.col("copy") == 1, 1).otherwise(0)).over(same)})
     place, windows = F.shiftright("spot", 32), F.shiftright(F.col("spot").bitwiseAND((1 << 32) - 1), 2)
-    sure, twice = F.col("spot").bitwiseAND(2) > 0, F.col("spot").bitwiseAND(1) > 0
-    repeat = (F.col("copy") > 1) | sure
-    found = shared_table(marked.where(repeat | (F.col("least") != F.col("most")) | twice).select("key", "doc_id", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"), (F.col("n") > HOT).alias("hot")), "units")
-    release(df.sparkSession)
+    repeat, twice = (F.col("copy") > 1) | (F.col("spot").bitwiseAND(2) > 0), F.col("spot").bitwiseAND(1) > 0
+    return marked.select("key", "body", "ord", "row", "spot", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"), ((F.col("least") != F.col("most")) | twice).alias("apart"), (F.col("n") > HOT).alias("hot"))
+
 
-    # Both joins leave the texts' side as it is, so that they share one exchange of the texts.
-    wanted = found.where("NOT repeat").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "windows", "hot")).alias("wanted"))
-    spans = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(length), "key long, doc_id long, place long, span binary")
-    windows = found.where("NOT repeat").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    dealt = spans.repartition(1 + windows // TASK_WINDOWS, "key").sortWithinPartitions("doc_id", "place").select("doc_id", "place", "span")
-    removed = dealt.mapInArrow(_scan(length, BATCH), "doc_id long, first long, past long")
-    removed = removed.unionByName(found.where("repeat").select("doc_id", F.col("place").alias("first"), (F.col("place") + F.col("windows")).alias("past")))
-    ranges = removed.groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
-    return docs.join(ranges.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def _without(docs: DataFrame, found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """docs without their repeats. found: units with verdicts; texts: docs and the earlier texts that
+    found names. Both joins read the same columns of the texts, so that they share one exchange of them."""
+    wanted = found.where("apart AND NOT repeat").groupBy("row").agg(F.collect_list(F.struct("key", "place", "windows", "hot")).alias("wanted"))
+    spans = texts.join(wanted.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "wanted").mapInArrow(_cut(length), "key long, row long, ord long, place long, span binary")
+    windows = found.where("apart AND NOT repeat").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    dealt = spans.repartition(1 + windows // TASK_WINDOWS, "key").sortWithinPartitions(F.shiftright("row", BATCH_BITS), "ord", "row", "place").select("row", "place", "span")
+    removed = dealt.mapInArrow(_scan(length, BATCH), "row long, first long, past long")
+    removed = removed.unionByName(found.where("repeat").select("row", F.col("place").alias("first"), (F.col("place") + F.col("windows")).alias("past")))
+    ranges = removed.groupBy("row").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
+    joined = docs.join(ranges.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "ranges")
+    return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
+
+    Null counts as empty. Each row is a document of its own: rows with a null id come after all
+    others, and rows that repeat an id in an order of their own, so all but one of equal rows lose
+    all their windows. Long texts are taken whole. Other columns are ignored; an empty table gives
+    an empty result.
+    """
+    docs = shared_table(_numbered(df, id_col, text_col), "texts")
+    found = shared_table(_marked(docs, None, length, gram).where("repeat OR apart").drop("body", "ord", "spot"), "units")
+    release(df.sparkSession)
+    return _without(docs, found, docs, length)
+
+
+class RepeatIndex:
+    """Repeats across batches. folder: shared by driver and executors; it holds each batch's texts,
+    the levels of first units, and a table of contents per batch, the last complete one of which
+    counts: a batch that fails leaves the index as it was. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str, length: int = LENGTH, gram: int = GRAM) -> None:
+        self.spark, self.folder, self.length, self.gram = spark, folder.rstrip("/"), length, gram
+
+    def contents(self) -> tuple[int, list[tuple[str, int, str]]]:
+        """(batches so far, [(kind: text or level, units, path)])."""
+        jvm, path = self.spark.sparkContext._jvm, self.folder
+        system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        batch = 0
+        while system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/contents-{batch + 1}/_SUCCESS")):
+            batch += 1
+        return batch, [tuple(r) for r in self.spark.read.parquet(f"{path}/contents-{batch}").collect()] if batch else []
+
+    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The result of remove_repeats for a batch that comes after all batches so far."""
+        batch, parts = self.contents()
+        paths = lambda kind: [p for k, _, p in parts if k == kind]
+        union = lambda names: self.spark.read.parquet(*names)
+        docs = write_table(_numbered(df, id_col, text_col, batch), f"{self.folder}/texts-{batch}")
+        marked = shared_table(_marked(docs, union(paths("level")) if paths("level") else None, self.length, self.gram), "marked")
+        new = F.shiftright("row", BATCH_BITS) == batch
+        found = marked.where(F.when(new, F.col("repeat") | F.col("apart")).otherwise(F.col("apart")))
+        texts = docs
+        if old := paths("text"):
+            used = found.where(~new).select("row").distinct()
+            texts = docs.unionByName(union(old).join(used, "row", "left_semi"))
+        level = marked.where(new & ~F.col("repeat")).select("key", "body", "ord", "row", "spot")
+        size, merged = level.count(), []
+        while size and (other := next((p for p in parts if p[0] == "level" and p[1].bit_length() == size.bit_length()), None)):
+            parts.remove(other)
+            merged.append(other[2])
+            size += other[1]
+        if merged:
+            level = level.unionByName(union(merged))
+        if size:
+            write_table(level.repartition("key").sortWithinPartitions("key"), f"{self.folder}/level-{batch}")
+            parts.append(("level", size, f"{self.folder}/level-{batch}"))
+        parts.append(("text", 0, f"{self.folder}/texts-{batch}"))
+        out = shared_table(_without(docs, found, texts, self.length), "kept")
+        write_table(self.spark.createDataFrame(parts, "kind string, units long, path string").coalesce(1), f"{self.folder}/contents-{batch + 1}")
+        return out
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -197,45 +197,93 @@ def test_components(spark):
     assert got == {x: find(x) for ab in links for x in ab if find(x) != x}
 
 
-def brute_repeats(rows, n=100):
-    seen, out = set(), {}
-    for d, t in sorted((r[0], r[1]) for r in rows):
+def brute_repeats(rows, n=100, seen=None):
+    """Sorted (doc_id, n_bytes, n_removed, n_spans, kept); rows of equal order in the order given."""
+    seen, out = set() if seen is None else seen, []
+    for d, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0)):
         b = (t or "").encode()
         gone = bytearray(len(b))
+        end = 0
         for i in range(len(b) - n + 1):
             if b[i : i + n] in seen:
-                gone[i : i + n] = b"\1" * n
+                start = max(i, end)
+                gone[start : i + n] = b"\1" * (i + n - start)
+                end = i + n
             seen.add(b[i : i + n])
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[d] = (len(b), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), kept)
-    return out
+        out.append((d, len(b), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), kept))
+    return sorted(out, key=repr)
+
+
+def removed(df):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot, batch", [(S.HOT, S.BATCH), (1, 300)])
-def test_repeats(spark, sf_dir, monkeypatch, hot, batch):
+MORE = [(8100, "ab" * 60, ""), (8101, "x" + "ab" * 55, ""), (8102, "\0" * 150, ""), (8103, "y" * 99, ""), (8104, "y" * 99, "")]
+
+
+@pytest.mark.parametrize("hot, batch, block", [(S.HOT, S.BATCH, S.BLOCK), (1, 300, 16)])
+def test_repeats(spark, sf_dir, monkeypatch, hot, batch, block):
+    """Against brute force: with a very long row, null ids, and two texts and equal rows under one id."""
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "BATCH", batch)
-    rows = [r for r in hard_documents(spark, sf_dir, 60) if r[0] != 8005] + [(8100, "ab" * 60, ""), (8101, "x" + "ab" * 55, ""), (8102, "\0" * 150, ""), (8103, "y" * 99, ""), (8104, "y" * 99, "")]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(frame(spark, rows)).collect()}
-    assert got == brute_repeats(rows)
+    rows = hard_documents(spark, sf_dir, 60) + MORE
+    rows += [(None, rows[5][1] + " and a text without id", ""), (9000, rows[7][1], ""), (9000, rows[7][1], ""), (9000, None, "")]
+    assert removed(S.remove_repeats(frame(spark, rows))) == brute_repeats(rows)
+
+
+def test_repeats_repeated_ids(spark):
+    random.seed(9)
+    text = lambda n: " ".join(f"{random.randrange(10**6)}" for _ in range(n))
+    a, b = text(60), text(20)
+    df = spark.createDataFrame([(1, a), (2, "short"), (2, a), (2, b), (3, b), (3, b)], "doc_id long, text string").coalesce(1)
+    want = brute_repeats([(1, a), (2, "short"), (2, a), (2, b), (3, b), (3, b)])
+    assert removed(S.remove_repeats(df)) == want and sum(x[2] for x in want) > len(a)
 
 
 def test_repeats_edges(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(None, "z" * 200), (1, None)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in S.remove_repeats(df).collect()) == [(-1, 0), (1, 0)]
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in S.remove_repeats(df).collect()) == [(-1, 199), (1, 0)]
+
+
+def test_repeats_across_batches(spark, sf_dir, tmp_path, monkeypatch):
+    """Later batches find the repeats of earlier ones in the stored levels."""
+    rows = hard_documents(spark, sf_dir, 40) + MORE
+    random.seed(3)
+    random.shuffle(rows)
+    index, seen, sizes = S.RepeatIndex(spark, f"file://{tmp_path}/index"), set(), []
+    for part in (rows[:60], rows[60:90], [], rows[90:110], rows[110:]):
+        out = index.add(spark.createDataFrame(part, "doc_id long, text string, source string"))
+        assert removed(out) == brute_repeats(part, seen=seen)
+        sizes.append([n.bit_length() for kind, n, _ in index.contents()[1] if kind == "level"])
+    assert index.contents()[0] == 5 and all(len(set(x)) == len(x) for x in sizes) and any(sizes)
+
+
+def test_suffix_ranks():
+    rng = np.random.default_rng(1)
+    for length in (3, 8, 21, 100):
+        text = rng.integers(97, 99, 400, dtype=np.uint8)
+        cut = [bytes(text[i : i + length]).ljust(length, b"\0") for i in range(400)]
+        order = {w: k for k, w in enumerate(sorted(set(cut)))}
+        assert S.suffix_ranks(text, length).tolist() == [order[w] for w in cut]
 
 
-def test_suffix_levels_are_geometric():
+def test_suffix_levels_are_geometric(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 8)
     index = S.SuffixLevels(4)
     rng, every = np.random.default_rng(0), set()
     for _ in range(40):
-        new = np.unique(S._as_windows([bytes(rng.integers(97, 100, 30, dtype=np.uint8))], 4))
-        known = index.seen(new)
-        assert known.tolist() == [w in every for w in new.tolist()]
-        every |= set(new.tolist())
-        index.add(new[~known])
+        text = rng.integers(97, 100, 30, dtype=np.uint8)
+        want = []
+        for i in range(27):
+            want.append(bytes(text[i : i + 4]) in every)
+            every.add(bytes(text[i : i + 4]))
+        assert index.take(text, np.arange(27)).tolist() == want
         assert all(len(v).bit_length() == k for k, v in index.levels.items())
+        for v in index.levels.values():
+            assert (np.sort(v.windows(0, len(v))) == v.windows(0, len(v))).all()
+    assert sum(map(len, index.levels.values())) == len(every)
 
 
 @pytest.fixture(scope="module")
