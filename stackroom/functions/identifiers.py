@@ -14,14 +14,18 @@ def _after(text: Column, prefix: str) -> Column:
     return F.trim(F.regexp_replace(text, f"(?i)^{prefix}", ""))
 
 
-def strip_trailing_punctuation(text: Column, most: int = 8) -> Column:
-    """Drops . , ; and closers without an opener from the end, most at most."""
+def strip_trailing_punctuation(text: Column) -> Column:
+    """Drops . , ; and closers without an opener from the end, as many as there are."""
     count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    for _ in range(most):
-        last = F.right(text, F.lit(1))
-        drop = last.isin(".", ",", ";") | ((last == ")") & (count(text, "(") < count(text, ")"))) | ((last == "]") & (count(text, "[") < count(text, "]")))
-        text = F.when(drop, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    return text
+
+    def one(t: Column) -> Column:
+        last = F.right(t, F.lit(1))
+        drop = last.isin(".", ",", ";") | ((last == ")") & (count(t, "(") < count(t, ")"))) | ((last == "]") & (count(t, "[") < count(t, "]")))
+        return F.when(drop, F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+
+    run = F.length(F.regexp_extract(text, r"[.,;)\]]*$", 0))
+    steps = F.when(run > 0, F.sequence(F.lit(1), run)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, text, lambda t, _: one(t))
 
 
 def normalize_doi(raw: Column) -> Column:
@@ -29,7 +33,7 @@ def normalize_doi(raw: Column) -> Column:
     text = _after(_text(raw), r"doi:\s*")
     url = text.rlike("(?i)^https?://")
     text = F.when(url, F.regexp_extract(text, r"(?i)doi\.org/(10\.\d{4,9}/[^\s?#]+)", 1)).otherwise(text)
-    text = F.aggregate(F.sequence(F.lit(1), F.lit(12)), text, lambda t, _: strip_trailing_punctuation(t, 1))
+    text = strip_trailing_punctuation(text)
     return F.when(text.rlike(r"^10\.\d{4,9}/\S+$"), text)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def _tagged(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
@@ -49,16 +51,16 @@ def standing_groups(members: DataFrame, group: str, key: str, ceiling: int | Non
     """Groups that share no member with an earlier one that stands, by group id: what taking them in order
     would give. In each round the groups that come first among the undecided ones of all their members
     stand, and those that overlap them fall. ceiling keeps the first so many, as a limit on one call."""
-    left = members.select(group, key).distinct().persist()
+    left = staged(members.select(group, key).distinct(), "undecided")
     stands = left.select(group).limit(0)
     while not left.isEmpty():
         owner = left.groupBy(key).agg(F.min(group).alias("__owner"))
         whole = left.join(owner, key).groupBy(group).agg(F.min((F.col("__owner") == F.col(group)).cast("int")).alias("w"))
-        new = whole.where("w = 1").select(group).persist()
+        new = staged(whole.where("w = 1").select(group), "standing")
         taken = left.join(new, group, "left_semi").select(key).distinct()
         fallen = left.join(taken, key, "left_semi").select(group).distinct()
         stands = stands.unionByName(new)
-        left = left.join(fallen, group, "left_anti").persist()
+        left = staged(left.join(fallen, group, "left_anti"), "undecided")
     return stands if ceiling is None else stands.orderBy(group).limit(ceiling)
 
 

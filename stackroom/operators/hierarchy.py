@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which a lineage is cut.
+from ..session import staged
+
+#: Rounds after which a lineage is cut, by a table in the shared folder.
 CUT_EVERY = 4
 
 
@@ -16,22 +18,25 @@ def closure(edges: DataFrame, node: str = "key", parent: str = "parent") -> Data
     """(ancestor, node) pairs, each node its own ancestor. Rounds join pairs with pairs, so that the
     number of rounds is the logarithm of the depth; a round without new pairs ends it."""
     step = edges.where(F.col(parent).isNotNull() & F.col(node).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(node).alias("node")).distinct()
-    pairs = step.unionByName(edges.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))).distinct()
-    pairs = pairs.persist()
-    before, rounds = -1, 0
+    pairs = staged(step.unionByName(edges.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))).distinct(), "closure")
+    before = -1
     while (now := pairs.count()) != before:
-        before, rounds = now, rounds + 1
+        before = now
         further = pairs.select("ancestor", F.col("node").alias("via")).join(pairs.select(F.col("ancestor").alias("via"), "node"), "via").select("ancestor", "node")
-        pairs = pairs.unionByName(further).distinct().persist()
-        if rounds % CUT_EVERY == 0 and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            pairs = pairs.checkpoint()
+        pairs = staged(pairs.unionByName(further).distinct(), "closure")
     return pairs
 
 
 def descendants(edges: DataFrame, roots: Sequence, node: str = "key", parent: str = "parent") -> DataFrame:
-    """(node) of the subtrees of roots; a root that is no node has none."""
-    pairs = closure(edges, node, parent)
-    return pairs.where(F.col("ancestor").isin(list(roots))).select("node").distinct()
+    """(node) of the subtrees of roots, level by level from the roots: only their trees are walked. A root
+    that is no node has none."""
+    links = edges.where(F.col(parent).isNotNull() & F.col(node).isNotNull()).select(F.col(parent).alias("up"), F.col(node).alias("node"))
+    front = staged(edges.select(F.col(node).alias("node")).where(F.col("node").isin(list(roots))).distinct(), "level")
+    found = front
+    while not front.isEmpty():
+        front = staged(links.join(front.select(F.col("node").alias("up")), "up", "left_semi").select("node").distinct().join(found, "node", "left_anti"), "level")
+        found = found.unionByName(front)
+    return found
 
 
 def paths(nodes: DataFrame, node: str = "key", parent: str = "parent", name: str = "name") -> DataFrame:
@@ -46,8 +51,7 @@ def paths(nodes: DataFrame, node: str = "key", parent: str = "parent", name: str
         grown = joined.select("node", F.when(more, F.col("__p")).alias("up"), F.when(more, F.concat(F.array("__t"), "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.concat("seen", F.array("__n"))).otherwise(F.col("seen")).alias("seen"))
         rounds += 1
         if rounds % CUT_EVERY == 0:
-            kept = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-            grown = grown.checkpoint() if kept else grown.localCheckpoint()
+            grown = staged(grown, "paths")
         growing = not grown.where("up IS NOT NULL").isEmpty()
     return grown.select("node", "path")
 

@@ -30,13 +30,16 @@ def passages_of(items: DataFrame, key: str, text: str, meta: Sequence[str], size
 
 def refresh(items: DataFrame, table: IndexTable, marks: Watermarks, group_id: int, key: str, text: str, version: str, embedder: Callable, meta: Sequence[str] = (), current: DataFrame | None = None, rebuild: bool = False, allow_mass: bool = False) -> Refresh:
     """Indexes the items that are newer than the group's watermark, drops what is gone, then moves the
-    watermark. current: all keys of the group; None is unknown and deletes nothing. Running it again after a
-    failure repeats no step wrongly: records are replaced by id, and the watermark moves last."""
+    watermark. current: all keys of the group; None is unknown and deletes nothing. The newest version is
+    read first and bounds what is indexed, so items that arrive meanwhile wait for the next run. Running it
+    again after a failure repeats no step wrongly: records are replaced by id, and the watermark moves last."""
+    newest = items.agg(F.max(version).alias("v")).first()["v"]
+    items = items.where(F.col(version) <= newest) if newest is not None else items.limit(0)
     mark = None if rebuild else marks.get(group_id)
     changed = items if mark is None else sync.changed_since(items, version, mark)
     records = passages_of(changed, key, text, list(meta)).withColumn("group_id", F.lit(group_id).cast("long"))
     records = vector.embed(records, "document", embedder)
-    deleted = 0
+    added, deleted = changed.count(), 0
     if table.exists():
         index = table.read()
         mine = F.col("group_id") == group_id
@@ -50,11 +53,10 @@ def refresh(items: DataFrame, table: IndexTable, marks: Watermarks, group_id: in
                 kept = kept.join(gone, ["parent", "group_id"], "left_anti")
         records = kept.unionByName(records, allowMissingColumns=True)
     table.replace(records)
-    done = changed.agg(F.count(F.lit(1)).alias("n"), F.max(version).alias("v")).first()
-    after = sync.next_watermark(marks.get(group_id), done["v"], True)
+    after = sync.next_watermark(marks.get(group_id), newest, True)
     if after is not None:
         marks.put(group_id, after)
-    return Refresh(done["n"], deleted, after)
+    return Refresh(added, deleted, after)
 
 
 def semantic_search(table: IndexTable, query: str, embedder: Callable, k: int = 10, filters: dict | None = None, group_id: int | None = None, scorer: Callable | None = None) -> DataFrame:

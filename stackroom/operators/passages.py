@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,27 +86,33 @@ def fuzzy_threshold(length: int) -> float:
     return 0.85 if length < 50 else 0.75 if length < 150 else 0.65
 
 
+def _window_bounds(text: str, pattern: str, width: int, places: int) -> np.ndarray:
+    """Upper bound of the ratio of the window at each of the first places: by the letters both hold."""
+    codes, ends = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.minimum(np.arange(places) + width, len(text))
+    shared = np.zeros(places, np.int64)
+    for letter, n in Counter(pattern).items():
+        seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
+        shared += np.minimum(seen[ends] - seen[:places], n)
+    return 2.0 * shared / (ends - np.arange(places) + len(pattern))
+
+
 def fuzzy_find(text: str, pattern: str) -> tuple[float, int, int]:
-    """(ratio, start, end) of the window of 1.2 times the pattern's length most like it. From 10,000
-    characters on the windows first come at steps, then closely around the best."""
+    """(ratio, start, end) of the window of 1.2 times the pattern's length most like it, the first of equals.
+    Every window of a text of any length counts: those whose letters cannot reach the best are left out."""
     exact = text.find(pattern)
     if exact >= 0 or not pattern:
         return 1.0, max(exact, 0), max(exact, 0) + len(pattern)
     width = max(1, int(1.2 * len(pattern)))
-    last = max(0, len(text) - len(pattern))
-    step = 1 if len(text) < 10_000 else max(1, len(pattern) // 4)
+    bounds = _window_bounds(text, pattern, width, max(1, len(text) - len(pattern) + 1))
     match = difflib.SequenceMatcher(None, b=pattern, autojunk=False)
-
-    def best_of(places, best):
-        for i in places:
-            match.set_seq1(text[i : i + width])
-            if match.real_quick_ratio() > best[0] and match.quick_ratio() > best[0] and (r := match.ratio()) > best[0]:
-                best = (r, i, min(len(text), i + width))
-        return best
-
-    best = best_of(range(0, last + 1, step), (0.0, 0, 0))
-    if step > 1:
-        best = best_of(range(max(0, best[1] - step), min(last, best[1] + step) + 1), best)
+    best = (0.0, 0, 0)
+    for i in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[i] < best[0] - 1e-12:
+            break
+        match.set_seq1(text[i : i + width])
+        r = match.ratio()
+        if r > best[0] or (r == best[0] > 0 and i < best[1]):
+            best = (r, i, min(len(text), i + width))
     return best
 
 

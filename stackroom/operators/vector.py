@@ -3,6 +3,7 @@ TakeOrderedAndProject, so that only k rows a task reach the driver's side."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -30,11 +31,11 @@ def literal_vector(values: Sequence[float]) -> Column:
 METRICS = {"cosine": (cosine, True), "dot": (dot, True), "l2": (squared_distance, False)}
 
 
-def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, metric: str = "cosine", where: Column | None = None, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """The k nearest rows with score (a distance for l2), ties by key. where is applied before the limit."""
     score, high = METRICS[metric]
     rows = vectors if where is None else vectors.where(where)
-    scored = rows.where(F.col(vector).isNotNull()).withColumn("score", F.round(score(F.col(vector), query), digits))
+    scored = rows.where(F.col(vector).isNotNull()).withColumn("score", score(F.col(vector), query))
     return scored.orderBy(F.desc("score") if high else F.asc("score"), key).limit(k)
 
 
@@ -81,9 +82,10 @@ def rerank(hits: DataFrame, text: str, key: str, k: int, scorer: Callable[[list[
     return hits.where(F.col(text).isNotNull()).mapInPandas(run, schema).orderBy(F.desc("rerank"), key).limit(k)
 
 
-def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], Sequence[Sequence[float]]], out: str = "embedding", tries: int = 3) -> DataFrame:
-    """rows with vectors from embedder, in batches; a failing batch is tried again, then fails the task,
-    which Spark runs again."""
+def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], Sequence[Sequence[float]]], out: str = "embedding", tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """rows with vectors from embedder, in batches. A failing batch is tried again after a pause that
+    doubles, then fails the task, which Spark runs again; an error in the request itself (ValueError,
+    TypeError) would only come back and fails at once."""
     import pyspark.sql.types as T
 
     names = rows.columns
@@ -94,9 +96,12 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], Sequence[S
                 try:
                     vectors = embedder(b[text].fillna("").tolist())
                     break
+                except (ValueError, TypeError):
+                    raise
                 except Exception:
                     if not left:
                         raise
+                    time.sleep(pause * 2 ** (tries - 1 - left))
             yield b[names].assign(**{out: [list(map(float, v)) for v in vectors]})
 
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

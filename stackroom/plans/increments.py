@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import sync as N
-from ..session import table
+from ..session import scratch_path, table
 from ..streaming import streams as W
 
 
@@ -122,12 +121,19 @@ def _stream(spark, sf_dir):
 def _sink(spark, stream, mode):
     """Runs a stream to its end into a table in memory: for results of bounded size."""
     name = f"s{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as checkpoint:
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
     return spark.table(name)
 
 
+def _files(spark, stream):
+    """Runs a stream to its end into files, which grow with it."""
+    out = scratch_path(spark, "sink")
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query("stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_counts(spark, sf_dir):
     return _sink(spark, _stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete").select("event_type", "n")
@@ -141,7 +147,7 @@ def stream_windows(spark, sf_dir):
 
 @query("stream_dedup", "SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, sf_dir):
-    return _sink(spark, W.dedup_stream(_stream(spark, sf_dir).select("event_id", "ts"), "event_id", "ts", "30 days"), "append").select("event_id")
+    return _files(spark, W.dedup_stream(_stream(spark, sf_dir).select("event_id", "ts"), "event_id", "ts", "30 days")).select("event_id")
 
 
 @query("session_windows", "SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY user_id, s) GROUP BY user_id")

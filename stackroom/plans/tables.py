@@ -10,7 +10,7 @@ from ..operators import hierarchy as H
 from ..operators import hydrate as Y
 from ..operators import mutate as M
 from ..operators import reports as R
-from ..session import table
+from ..session import staged, table
 
 EAV_SQL = "(SELECT p_partkey, 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part WHERE p_size > 5)"
 
@@ -286,7 +286,8 @@ def keyed(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    docs = keyed(spark, sf_dir).drop("text")
+    """The keys are computed once and written: the plans read them several times."""
+    docs = staged(keyed(spark, sf_dir).drop("text"), "keyed")
     groups = D.duplicate_groups(D.match_keys(docs, "doc_id", {"text": F.col("k")}), "doc_id")
     return docs.join(groups.select(F.col("value").alias("k")), "k", "left_semi")
 

@@ -24,35 +24,35 @@ def first_vector(spark, sf_dir):
     return V.literal_vector(table(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"])
 
 
-@query("knn", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY score DESC, e.vec_id LIMIT 10")
+@query("knn", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
 def knn(spark, sf_dir):
-    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding").select("vec_id", "score")
+    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("knn_l2", f"SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 5) AS score FROM embeddings e, {_Q} q ORDER BY score, e.vec_id LIMIT 10")
 def knn_l2(spark, sf_dir):
-    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding", "l2", digits=5).select("vec_id", "score")
+    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding", "l2").select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("knn_filtered", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q WHERE (label = 3 OR label IN (1, 5)) AND vec_id >= 10 ORDER BY score DESC, e.vec_id LIMIT 10")
+@query("knn_filtered", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q WHERE (label = 3 OR label IN (1, 5)) AND vec_id >= 10 ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
 def knn_filtered(spark, sf_dir):
     where = V.metadata_filter({"$or": [{"label": 3}, {"label": {"$in": [1, 5]}}], "vec_id": {"$gte": 10}})
-    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding", where=where).select("vec_id", "score")
+    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, "vec_id", "embedding", where=where).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("knn_group_scope", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q WHERE vec_id % 4 = 2 ORDER BY score DESC, e.vec_id LIMIT 5")
+@query("knn_group_scope", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q WHERE vec_id % 4 = 2 ORDER BY {_COS} DESC, e.vec_id LIMIT 5")
 def knn_group_scope(spark, sf_dir):
-    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 5, "vec_id", "embedding", where=F.col("vec_id") % 4 == 2).select("vec_id", "score")
+    return V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 5, "vec_id", "embedding", where=F.col("vec_id") % 4 == 2).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("knn_collapse", f"WITH h AS (SELECT e.vec_id, e.vec_id // 4 AS item, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY score DESC, e.vec_id LIMIT 40) SELECT item, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, vec_id) AS r FROM h) WHERE r = 1 ORDER BY score DESC, item LIMIT 10")
+@query("knn_collapse", f"WITH h AS (SELECT e.vec_id, e.vec_id // 4 AS item, {_COS} AS score FROM embeddings e, {_Q} q ORDER BY score DESC, e.vec_id LIMIT 40) SELECT item, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, vec_id) AS r FROM h) h_ WHERE r = 1 ORDER BY h_.score DESC, item LIMIT 10")
 def knn_collapse(spark, sf_dir):
     """Ten items of forty passages: the best passage of each."""
     hits = V.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), V.fetch_size(10, chunked=True), "vec_id", "embedding")
-    return V.collapse(hits.select(F.floor(F.col("vec_id") / 4).cast("long").alias("item"), "vec_id", "score"), "item", "vec_id", 10)
+    return V.collapse(hits.select(F.floor(F.col("vec_id") / 4).cast("long").alias("item"), "vec_id", "score"), "item", "vec_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query("knn_hydrated", f"WITH h AS (SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY score DESC, e.vec_id LIMIT 10) SELECT h.vec_id, score, lang, source FROM h LEFT JOIN documents d ON d.doc_id = h.vec_id")
+@query("knn_hydrated", f"WITH h AS (SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY {_COS} DESC, e.vec_id LIMIT 10) SELECT h.vec_id, score, lang, source FROM h LEFT JOIN documents d ON d.doc_id = h.vec_id")
 def knn_hydrated(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
     return knn(spark, sf_dir).join(docs, "vec_id", "left").select("vec_id", "score", "lang", "source")
@@ -85,8 +85,9 @@ def best_snippet(spark, sf_dir):
 
 @query("fuzzy_page")
 def fuzzy_page(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("f", G.find_in_pages(F.split("text", "\n"), "the and of the in thand"))
-    return turns.select("conv_id", "turn", "f.page", F.round("f.ratio", 6).alias("ratio"), "f.found")
+    """Lines of a document as its pages."""
+    docs = table(spark, sf_dir, "documents").withColumn("f", G.find_in_pages(F.split("text", "\n"), "the and of the in thand"))
+    return docs.select("doc_id", "f.page", F.round("f.ratio", 6).alias("ratio"), "f.found")
 
 
 _TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))"

@@ -152,7 +152,8 @@ def choose_attachment(attachments: DataFrame, item: str, kind: str, size: str, k
     return best.select(item, "b.*")
 
 
-def page_range(df: DataFrame, pages: str, start: int, end: int | None = None, most: int = 20) -> DataFrame:
-    """One row per page from start to end (1-based, both in), most pages at most."""
-    last = min(end if end is not None else start, start + most - 1)
+def page_range(df: DataFrame, pages: str, start: int, end: int | None = None, most: int | None = None) -> DataFrame:
+    """One row per page from start to end (1-based, both in); most: a limit on one answer, none by default."""
+    last = end if end is not None else start
+    last = last if most is None else min(last, start + most - 1)
     return df.select("*", F.posexplode(pages).alias("__i", "page_text")).withColumn("page", F.col("__i") + 1).where(F.col("page").between(start, last)).drop("__i", pages)

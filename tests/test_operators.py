@@ -164,3 +164,67 @@ def test_fold_agrees_with_constants(spark):
     words = ["Müller", "ÅNGSTRÖM", "straße", "Łódź", "a—b", "王"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(T.fold(F.col("w"))).collect()]
     assert got == [T.fold_value(w) for w in words]
+
+
+def test_identifier_punctuation_is_stripped_to_the_end(spark):
+    from stackroom.functions import identifiers as I
+
+    values = ["10.1234/ab" + "." * 20, "10.1234/a(b)c" + ")" * 15, "10.1234/a(b)", "10.1234/x;,.];)", "10.1234/plain", None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(I.normalize_doi(F.col("v"))).collect()]
+    assert got == ["10.1234/ab", "10.1234/a(b)c", "10.1234/a(b)", "10.1234/x", "10.1234/plain", None]
+
+
+def test_nearest_orders_by_the_exact_score(spark):
+    from stackroom.operators import vector as V
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0001]), (2, [1.0, 0.0])], "id long, v array<double>")
+    assert V.nearest(rows, V.literal_vector([1.0, 0.0]), 1, "id", "v").first()["id"] == 2
+
+
+def test_fuzzy_find_in_long_texts():
+    """Against every window, over a text of more than 10,000 characters."""
+    import difflib
+    import random
+
+    random.seed(5)
+    text = "".join(random.choice("abc de") for _ in range(12_000))
+    pattern = text[7_001:7_031].replace("a", "x", 2)[::-1][::-1] + "q"
+    width = int(1.2 * len(pattern))
+    match = difflib.SequenceMatcher(None, b=pattern, autojunk=False)
+    best = (0.0, 0)
+    for i in range(len(text) - len(pattern) + 1):
+        match.set_seq1(text[i : i + width])
+        if match.real_quick_ratio() > best[0] and match.quick_ratio() > best[0] and match.ratio() > best[0]:
+            best = (match.ratio(), i)
+    assert G.fuzzy_find(text, pattern)[:2] == best
+
+
+def test_descendants_walk_down(spark):
+    from stackroom.operators import hierarchy as H
+
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "gone")], "key string, parent string")
+    found = lambda *roots: {r["node"] for r in H.descendants(edges, roots).collect()}
+    assert found("b") == {"b", "c", "d"} and found("x") == {"x", "y"} and found("gone") == set() and found("a", "z") == {"a", "b", "c", "d", "z"}
+
+
+def test_refresh_leaves_later_items(spark, tmp_path):
+    """Items that arrive while the index is written are not passed over by the watermark."""
+    from stackroom.operators import maintain, vector
+    from stackroom.sources.index_table import IndexTable
+    from stackroom.streaming.streams import Watermarks
+
+    path = f"{tmp_path}/items"
+    put = lambda rows, mode: spark.createDataFrame(rows, "key string, text string, version long").write.mode(mode).parquet(path)
+    put([("a", "first text", 1), ("b", "second text", 2)], "overwrite")
+    table, marks = IndexTable(spark, f"{tmp_path}/index"), Watermarks(spark, f"{tmp_path}/marks")
+
+    class Late(IndexTable):
+        def replace(self, df):
+            super().replace(df)
+            if not marks.table.exists():
+                put([("c", "third text", 3)], "append")
+
+    late = Late(spark, f"{tmp_path}/index")
+    run = lambda t: maintain.refresh(spark.read.parquet(path), t, marks, 0, "key", "text", "version", vector.hash_embedder())
+    assert run(late).watermark == 2 and run(late).watermark == 3
+    assert {r["parent"] for r in table.read().select("parent").collect()} == {"a", "b", "c"}
