@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import conditions, increments, scalars, tables, vectors  # noqa: F401  they register
+    from .plans import conditions, facade, increments, scalars, tables, vectors  # noqa: F401  they register
 
 
 def queries() -> dict:
