@@ -248,9 +248,10 @@ class NearDuplicates:
         self.percent, self.spark = percent, df.sparkSession
         self.docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         known = shared_table(self.docs.mapInArrow(_described(percent, "sketch"), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "sketches")
-        reps = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-        self.members = shared_table(known.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", "rep", "f1", "f2"), "members")
-        self.nodes = shared_table(known.join(reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2", "sketch"), "nodes")
+        # Equal sets combine in the map tasks. Both sides of the join have exchanges of their own, so AQE splits a hot set.
+        least = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("x"))
+        self.nodes = shared_table(least.where("rep IS NOT NULL").select("rep", "x.n_shingles", "f1", "f2", "x.sketch"), "nodes")
+        self.members = shared_table(known.select("doc_id", "n_shingles", "f1", "f2").join(self.nodes.select("f1", "f2", "rep"), ["f1", "f2"], "left").select("doc_id", "n_shingles", "rep", "f1", "f2"), "members")
         self.buckets = buckets = self._buckets()
         release(self.spark)
         links = self._links(buckets.where("doc_id <> pivot").select(F.col("pivot").alias("p"), "doc_id").distinct())

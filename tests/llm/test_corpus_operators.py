@@ -57,6 +57,16 @@ def test_exact_dedup_null_and_repeated_ids(spark):
     assert got == [(-1, -1, 1, True), (-1, 5, 3, False), (5, 5, 3, True), (5, 5, 3, True)]
 
 
+def test_empty_tables(spark):
+    """Every operator and stage over tables without rows."""
+    import corpus_pipeline as P
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert E.exact_dedup(none).collect() == [] and M.mix_sources(none).collect() == [] and N.near_duplicates(none).collect() == []
+    for _, stage in P.STAGES[1:]:
+        assert stage(spark, none, "").collect() == []
+
+
 def test_mixing(spark, sf_dir):
     rows = hard_documents(spark, sf_dir)
     df = frame(spark, rows)
@@ -197,6 +207,24 @@ def test_components(spark):
     assert got == {x: find(x) for ab in links for x in ab if find(x) != x}
 
 
+def test_hot_keys_are_split(spark):
+    """One hub, and one set of copies, with most rows: AQE splits both joins back."""
+    from stackroom.llm.components import _with_least
+
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        edges = spark.range(0, 40_000, numPartitions=8).select(F.when(F.col("id") % 4 != 0, 0).otherwise(F.col("id")).alias("u"), (F.col("id") + 1).alias("v"))
+        joined = _with_least(edges)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def brute_repeats(rows, n=100, seen=None):
     """Sorted (doc_id, n_bytes, n_removed, n_spans, kept); rows of equal order in the order given."""
     seen, out = set() if seen is None else seen, []

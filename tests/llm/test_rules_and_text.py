@@ -256,3 +256,30 @@ def test_html_on_pages(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_host_votes_against_brute_force(spark, sf_dir):
+    """Counts, ties, winners and texts as a loop over the pages of each host gives them."""
+    import random
+
+    random.seed(7)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    part = lambda c, n: f"<div class='{c}'>" + "".join(f"<p>{' '.join(random.choices('ab cd ef gh'.split(), k=9))}</p>" for _ in range(n)) + "</div>"
+    for i in range(60):
+        body = part(random.choice(["content a1", "story b2", "x"]), random.randrange(1, 5)) + part(random.choice(["content a1", "side2 y", "x"]), random.randrange(0, 4))
+        rows.append((9000 + i, random.choice([f"http://h{i % 4}.org/p", None, "none"]), random.choice([f"<body>{body}</body>", body, None, ""])))
+    votes = defaultdict(Counter)
+    host = lambda u: re.split("[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+    for _, u, h in rows:
+        if (path := H.vote(h)) is not None:
+            votes[host(u)][path] += 1
+    winner = {k: min(c, key=lambda p: (-c[p], -p.count("/"), p)) for k, c in votes.items()}
+    want = sorted((i, H.extract(h, winner.get(host(u))), winner.get(host(u)) or "") for i, u, h in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"], r["host_path"] or "") for r in H.extract_main_text(df).collect()) == want
+
+
+@pytest.mark.parametrize("depth", [10, 300, 5000])
+def test_html_skips_at_any_depth(depth):
+    page = "<body>" + "<div>" * depth + "<nav>menu menu</nav><aside>advert</aside><form><p>sign up</p></form><div class='comments'>reader</div><p>the article itself</p>" + "</div>" * depth + "<p>and its end</p></body>"
+    assert H.extract(page, None) == "the article itself\nand its end"
