@@ -87,32 +87,45 @@ def fuzzy_threshold(length: int) -> float:
 
 
 def _window_bounds(text: str, pattern: str, width: int, places: int) -> np.ndarray:
-    """Upper bound of the ratio of the window at each of the first places: by the letters both hold."""
+    """Upper bound of the ratio of the window at each of the first places: by the longest common
+    subsequence, in a bit vector per window, for patterns up to 64 characters; else by the letters both hold."""
     codes, ends = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.minimum(np.arange(places) + width, len(text))
-    shared = np.zeros(places, np.int64)
-    for letter, n in Counter(pattern).items():
-        seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
-        shared += np.minimum(seen[ends] - seen[:places], n)
+    if len(pattern) <= 64:
+        held = np.zeros(places + width, np.uint64)
+        for letter in set(pattern):
+            bits = sum(1 << i for i, c in enumerate(pattern) if c == letter)
+            held[np.flatnonzero(codes[: places + width] == ord(letter))] = bits
+        open_ = np.full(places, (1 << 64) - 1, np.uint64)
+        for k in range(width):
+            met = open_ & held[k : k + places]
+            open_ = (open_ + met) | (open_ - met)
+        shared = np.bitwise_count(~open_ & np.uint64((1 << len(pattern)) - 1)).astype(np.int64)
+    else:
+        shared = np.zeros(places, np.int64)
+        for letter, n in Counter(pattern).items():
+            seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
+            shared += np.minimum(seen[ends] - seen[:places], n)
     return 2.0 * shared / (ends - np.arange(places) + len(pattern))
 
 
-def fuzzy_find(text: str, pattern: str) -> tuple[float, int, int]:
-    """(ratio, start, end) of the window of 1.2 times the pattern's length most like it, the first of equals.
-    Every window of a text of any length counts: those whose letters cannot reach the best are left out."""
+def fuzzy_find(text: str, pattern: str, least: float = 0.0) -> tuple[float, int, int]:
+    """(ratio, start, end) of the window of 1.2 times the pattern's length most like it, the first of equals;
+    (0, 0, 0) if none is above least. Every window of a text of any length counts: those that cannot reach
+    the best are left out by a bound."""
     exact = text.find(pattern)
     if exact >= 0 or not pattern:
         return 1.0, max(exact, 0), max(exact, 0) + len(pattern)
     width = max(1, int(1.2 * len(pattern)))
     bounds = _window_bounds(text, pattern, width, max(1, len(text) - len(pattern) + 1))
     match = difflib.SequenceMatcher(None, b=pattern, autojunk=False)
-    best = (0.0, 0, 0)
+    best, floor = (0.0, 0, 0), least
     for i in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[i] < best[0] - 1e-12:
+        if bounds[i] < floor - 1e-12 or (bounds[i] <= least and least):
             break
         match.set_seq1(text[i : i + width])
         r = match.ratio()
-        if r > best[0] or (r == best[0] > 0 and i < best[1]):
-            best = (r, i, min(len(text), i + width))
+        if r > floor or (r == best[0] > 0 and i < best[1]):
+            best, floor = (r, i, min(len(text), i + width)), r
     return best
 
 
@@ -125,8 +138,10 @@ def find_in_pages(pages: Column, pattern: str) -> Column:
         for s in batches:
             rows = []
             for texts in s:
-                tried = [(*fuzzy_find(t or "", pattern), i) for i, t in enumerate(texts if texts is not None else [])]
-                r, a, z, i = max(tried, key=lambda x: (x[0], -x[3]), default=(0.0, 0, 0, -1))
+                r, a, z, i = 0.0, 0, 0, 0 if texts is not None and len(texts) else -1
+                for k, t in enumerate(texts if texts is not None else []):
+                    if (found := fuzzy_find(t or "", pattern, r))[0] > r:
+                        (r, a, z), i = found, k
                 rows.append((i + 1, r, a, z, r >= fuzzy_threshold(len(pattern))))
             yield pd.DataFrame(rows, columns=["page", "ratio", "start", "end", "found"])
 

@@ -196,7 +196,22 @@ def test_fuzzy_find_in_long_texts():
         match.set_seq1(text[i : i + width])
         if match.real_quick_ratio() > best[0] and match.quick_ratio() > best[0] and match.ratio() > best[0]:
             best = (match.ratio(), i)
-    assert G.fuzzy_find(text, pattern)[:2] == best
+    assert G.fuzzy_find(text, pattern)[:2] == best and G.fuzzy_find(text, pattern, best[0]) == (0.0, 0, 0)
+    long = text[500:600].replace("d", "y")
+    ratios = [difflib.SequenceMatcher(None, text[i : i + 120], long, autojunk=False).ratio() for i in range(901)]
+    assert G.fuzzy_find(text[:1000], long)[:2] == (max(ratios), ratios.index(max(ratios)))
+
+
+def test_window_bounds_hold():
+    import difflib
+    import random
+
+    random.seed(6)
+    for n in (1, 7, 23, 64, 70):
+        text, pattern = ("".join(random.choice("ab é中") for _ in range(k)) for k in (300, n))
+        width, places = max(1, int(1.2 * n)), max(1, 300 - n + 1)
+        bounds = G._window_bounds(text, pattern, width, places)
+        assert all(difflib.SequenceMatcher(None, text[i : i + width], pattern, autojunk=False).ratio() <= bounds[i] + 1e-9 for i in range(places))
 
 
 def test_descendants_walk_down(spark):
