@@ -10,9 +10,10 @@ from .common import shared_table
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, least of u and all its v). Grouping combines in the map tasks. The least, one
-    row per node, are dealt by another key, so that the join back has an exchange on both sides: AQE
+    row per node, are dealt by a hash of their node, so that the join back has an exchange on both sides: AQE
     splits skewed keys of such joins, but not of one that takes the grouping's partitions as they are."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")).repartition("m")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = least.repartition(F.xxhash64("w"))
     return edges.join(least, F.col("u") == F.col("w")).drop("w")
 
 
