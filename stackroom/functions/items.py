@@ -43,6 +43,8 @@ BASE_FIELDS = {
     "videoRecording": {"studio": "publisher", "videoRecordingFormat": "medium"},
     "webpage": {"websiteTitle": "publicationTitle", "websiteType": "type"},
 }
+#: The item types as the schema spells them.
+ITEM_TYPES = ("annotation", "artwork", "attachment", "audioRecording", "bill", "blogPost", "book", "bookSection", "case", "computerProgram", "conferencePaper", "dataset", "dictionaryEntry", "document", "email", "encyclopediaArticle", "film", "forumPost", "hearing", "instantMessage", "interview", "journalArticle", "letter", "magazineArticle", "manuscript", "map", "newspaperArticle", "note", "patent", "podcast", "preprint", "presentation", "radioBroadcast", "report", "standard", "statute", "thesis", "tvBroadcast", "videoRecording", "webpage")
 CHILD_TYPES = ("attachment", "note", "annotation")
 
 
@@ -59,6 +61,11 @@ def base_field_of(item_type: str, field: str) -> str:
     return BASE_FIELDS.get(item_type, {}).get(field, field)
 
 
+def canonical_type(value: Column) -> Column:
+    """The schema's spelling of an item type, whatever its case; null for no such type."""
+    return F.create_map(*[F.lit(x) for t in ITEM_TYPES for x in (t.lower(), t)])[F.lower(F.trim(value))]
+
+
 def resolved(item_type: Column, fields: Column, base: str) -> Column:
     """The base field's value of a map<field, value>, whatever the type calls it."""
     names = {t: f for t, m in BASE_FIELDS.items() for f, b in m.items() if b == base}

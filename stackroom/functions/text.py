@@ -207,6 +207,14 @@ def unescape(text: Column) -> Column:
     return run(text)
 
 
+def title_query(title: Column) -> Column:
+    """A title as words to search for: tags become spaces before references are decoded, white space
+    collapses; null if nothing is left."""
+    plain = unescape(F.regexp_replace(title, r"</?[A-Za-z][^<>]*>", " "))
+    words = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.when(words != "", words)
+
+
 def title_key(title: Column) -> Column:
     """Title for equality: without tags, references, a leading article, accents and punctuation.
     An Arrow function: Unicode categories and compatibility forms aren't in SQL."""

@@ -3,7 +3,8 @@
 Tables (a missing one counts as empty): items(key, item_type, group_id, date_added, date_modified,
 parent, note, filename, mime), fields(key, field, value), creators(key, position, first, last,
 name), tags(key, tag), collections(key, parent, name, group_id), membership(item, collection),
-trash(key), relations(key, position, predicate, uri), libraries(group_id, kind, name).
+trash(key), relations(key, position, predicate, uri), libraries(group_id, kind, name), feeds(group_id,
+name, url, last_check, last_update, last_error, refresh_interval), feed_items(key, read_time, translated_time).
 Every method returns a lazy DataFrame. group_id 0 is the personal library; scope None is all.
 """
 
@@ -32,6 +33,8 @@ SCHEMAS = {
     "trash": "key string",
     "relations": "key string, position int, predicate string, uri string",
     "libraries": "group_id long, kind string, name string",
+    "feeds": "group_id long, name string, url string, last_check string, last_update string, last_error string, refresh_interval int",
+    "feed_items": "key string, read_time string, translated_time string",
 }
 #: Fields of the wide table, as base fields.
 WIDE = ("title", "date", "abstractNote", "publicationTitle", "DOI", "ISBN", "url", "extra", "publisher", "volume", "issue", "pages")
@@ -151,6 +154,13 @@ class Library:
         top = self.wide.select(F.col("key").alias("t_key"), F.col("title").alias("t_title"))
         return hydrate.two_hop(rows, middle, top, "parent", "m_key", "m_parent", "t_key", {"work": "coalesce(t_key, m_key)", "work_title": "coalesce(t_title, m_title, parent)"})
 
+    def search_notes_and_annotations(self, query: str, limit: int = 20) -> DataFrame:
+        """Notes and annotations together: (key, parent, kind, text, title of the work), notes first."""
+        notes = self.search_notes(query, limit).select("key", "parent", F.lit("note").alias("kind"), F.col("snippet").alias("text"), "title")
+        marked = F.coalesce(F.col("annotationText"), F.col("annotationComment"))
+        marks = self.search_annotations(query, limit).select("key", "parent", F.lit("annotation").alias("kind"), marked.alias("text"), F.col("work_title").alias("title"))
+        return notes.unionByName(marks).orderBy(F.desc("kind"), "key").limit(search.clamp_limit(limit, 20, 1000))
+
     def search_collections(self, query: str) -> DataFrame:
         up = self.tables["collections"].select(F.col("key").alias("parent"), F.col("name").alias("parent_name"))
         return search.in_scope(self.tables["collections"], self.scope).where(search.all_words(F.col("name"), query)).join(up, "parent", "left")
@@ -179,6 +189,21 @@ class Library:
         found = hierarchy.in_subtree(self.live, self.tables["membership"].withColumnRenamed("item", "key"), self.tables["collections"], collection, "key", "collection", recursive=include_subcollections)
         return found.orderBy("key").offset(search.clamp_offset(offset)).limit(search.clamp_limit(limit, 50, 1000))
 
+    def collection_items_with_children(self, collection: str, include_subcollections: bool = False) -> DataFrame:
+        """The items filed there and the attachments and notes of those without a parent, each key once."""
+        filed = hierarchy.in_subtree(self.live, self.tables["membership"].withColumnRenamed("item", "key"), self.tables["collections"], collection, "key", "collection", recursive=include_subcollections)
+        tops = filed.where("coalesce(parent, '') = ''").select(F.col("key").alias("parent"))
+        below = self.live.where(F.col("item_type").isin("attachment", "note")).join(tops, "parent", "left_semi")
+        return filed.unionByName(below).dropDuplicates(["key"])
+
+    def collection_tree(self) -> DataFrame:
+        """(key, depth, line) of every collection in the order of the tree, siblings by key; the line is indented."""
+        rows = search.in_scope(self.tables["collections"], self.scope)
+        steps = hierarchy.paths(rows.select("key", "parent", F.col("key").alias("name"))).select(F.col("node").alias("key"), F.col("path").alias("keys"))
+        depth = F.size("keys") - 1
+        line = F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), F.coalesce("name", F.lit("")), F.lit(" ("), "key", F.lit(")"))
+        return rows.join(steps, "key").orderBy("keys", "key").select("key", depth.alias("depth"), line.alias("line"))
+
     def get_collections(self) -> DataFrame:
         """Collections with their paths, in the order of the tree."""
         rows = search.in_scope(self.tables["collections"], self.scope)
@@ -190,6 +215,14 @@ class Library:
     def get_related(self, key: str) -> DataFrame:
         return hydrate.related(self.wide.select("key", "title"), self.tables["relations"].where(F.col("key") == key).withColumnRenamed("key", "src"), "src", "position", "uri", "key")
 
+    def get_related_by_predicate(self, key: str) -> DataFrame:
+        """(predicate, related: keys and titles in the relations' order); a target counts once per predicate."""
+        target = F.regexp_extract("uri", r"/items/([A-Z0-9]{8})\b", 1)
+        pointed = self.tables["relations"].where(F.col("key") == key).select("predicate", target.alias("related_key"), "position").where("related_key <> ''")
+        once = pointed.groupBy("predicate", "related_key").agg(F.min("position").alias("position"))
+        titled = once.join(self.wide.select(F.col("key").alias("related_key"), "title"), "related_key", "left")
+        return hydrate.nest_ordered(titled, "predicate", "position", ["related_key", "title"], "related").orderBy("predicate")
+
     def get_tags(self, limit: int | None = None) -> DataFrame:
         """Distinct tags in scope, of trashed items too."""
         tags = reports.distinct_values(self.wide, F.col("tags")).orderBy("tag")
@@ -204,6 +237,40 @@ class Library:
         notes = notes if key is None else notes.where((F.col("parent") == key) | (F.col("key") == key))
         return notes.select("key", "parent", F.substring("note", 1, clip).alias("note")).orderBy("key").limit(limit)
 
+    def get_annotations(self, key: str | None = None, limit: int | None = None) -> DataFrame:
+        """Annotations of an attachment or of a work's attachments, or all: with the work two hops up."""
+        texts = hydrate.pivot_fields(self.tables["fields"], "key", "field", "value", ["annotationText", "annotationComment", "annotationColor", "annotationPageLabel"])
+        files = self.wide.where("item_type = 'attachment'").select(F.col("key").alias("f_key"), F.col("parent").alias("f_parent"))
+        rows = self.live.where("item_type = 'annotation'").select("key", "parent", "tags").join(files, F.col("parent") == F.col("f_key"), "left")
+        rows = rows if key is None else rows.where((F.col("parent") == key) | (F.col("f_parent") == key))
+        rows = rows.orderBy("key")
+        rows = rows if limit is None else rows.limit(search.clamp_limit(limit, 20, 1000))
+        titles = self.wide.select(F.col("key").alias("work"), F.col("title").alias("work_title"))
+        return rows.join(texts, "key", "left").withColumn("work", F.coalesce("f_parent", "parent")).drop("f_key", "f_parent").join(titles, "work", "left")
+
+    def get_attachment(self, key: str) -> DataFrame:
+        """One attachment by its own key, with its work's title; no row for other types."""
+        own = self.wide.where((F.col("key") == key) & (F.col("item_type") == "attachment")).select("key", "parent", "filename", "mime")
+        return own.join(self.wide.select(F.col("key").alias("parent"), F.col("title").alias("work_title")), "parent", "left")
+
+    def all_keys(self) -> DataFrame:
+        """Every item's key, of any type and library, trashed ones too."""
+        return self.tables["items"].select("key").distinct()
+
+    def list_feeds(self) -> DataFrame:
+        """Feeds with the number of their items, by name."""
+        entries = self.tables["items"].select("key", F.col("group_id").alias("feed")).join(self.tables["feed_items"].select("key"), "key", "left_semi")
+        return reports.counts_per(self.tables["feeds"], entries, "group_id", "feed", "n_items").orderBy("name", "group_id")
+
+    def feed_items(self, group_id: int, limit: int = 20) -> DataFrame:
+        """A feed's newest items with their creators as one text. Ranks bare keys; only the page is hydrated."""
+        narrow = search.in_scope(self.tables["items"], group_id).select("key", "date_added").join(self.tables["feed_items"], "key")
+        page = search.order_by(narrow, [("date_added", "desc")], "key").limit(search.clamp_limit(limit, 20, 1000))
+        rows = page.drop("date_added").join(self.switch(group_id).wide, "key")
+        names = F.filter(F.transform("creators", lambda c: F.when(c["last"].isNotNull(), F.concat_ws(", ", c["last"], c["first"]))), lambda x: x.isNotNull())
+        date = F.expr("substr(date, instr(date, ' ') + 1)")
+        return rows.select("key", "item_type", "date_added", "read_time", "translated_time", "title", F.col("abstractNote").alias("abstract"), date.alias("date"), "DOI", "url", F.when(F.size(names) > 0, F.array_join(names, "; ")).alias("creators"))
+
     def list_libraries(self) -> DataFrame:
         """Libraries with the number of their items, trash included."""
         return reports.counts_per(self.tables["libraries"], self.tables["items"].where(~F.col("item_type").isin(*T.CHILD_TYPES)), "group_id", "group_id", "n_items")

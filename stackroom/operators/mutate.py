@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_lines
+from .hierarchy import descendants
 
 EMPTY = "array<string>"
 
@@ -67,6 +68,12 @@ def move_node(nodes: DataFrame, key: str, parent: str, value, new_parent) -> Dat
     return nodes.withColumn(parent, F.when(F.col(key) == value, F.lit(new_parent).cast(dict(nodes.dtypes)[parent])).otherwise(F.col(parent)))
 
 
+def delete_nodes(nodes: DataFrame, membership: DataFrame, roots: Sequence, key: str, parent: str, collection: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, membership) without the roots and all below them; the items filed there stay."""
+    gone = descendants(nodes, roots, key, parent).select(F.col("node").alias("__gone"))
+    return nodes.join(gone, F.col(key) == F.col("__gone"), "left_anti"), membership.join(gone, F.col(collection) == F.col("__gone"), "left_anti")
+
+
 def reparent(children: DataFrame, moves: DataFrame, parent: str, new_parent: str) -> DataFrame:
     """children with the parents that moves (parent, new_parent) gives; others stay."""
     return children.join(moves.select(parent, new_parent), parent, "left").withColumn(parent, F.coalesce(new_parent, parent)).drop(new_parent)

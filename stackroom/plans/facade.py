@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..library import Library
+from ..operators.mutate import delete_nodes
 from ..session import table
 
 _WITH = """WITH works AS (SELECT 'D' || doc_id AS key, CASE lang WHEN 'de' THEN 'case' WHEN 'fr' THEN 'report' ELSE 'journalArticle' END AS item_type, CASE WHEN lang = 'es' THEN 7 ELSE 0 END AS group_id,
@@ -168,3 +169,104 @@ def lib_coverage(spark, sf_dir):
 def lib_enrich(spark, sf_dir):
     facts = table(spark, sf_dir, "nation").select(F.concat(F.lit("10.1000/"), "n_nationkey").alias("doi"), F.col("n_regionkey").alias("fact"))
     return library(spark, sf_dir).enrich(facts).where("fact IS NOT NULL").select("key", "fact")
+
+
+_MORE = """, marks AS (SELECT 'A' || page_id AS key, 'P' || page_id AS parent, 'D' || page_id AS work, url AS text FROM pages),
+entries AS (SELECT 'F' || item_id AS key, lpad(item_id::VARCHAR, 9, '0') AS date_added, substr(text, 1, 40) AS title FROM benchmark)
+"""
+
+
+def extended(spark, sf_dir, scope: int | None = 0) -> Library:
+    """The library with an annotation on every page, a feed whose items are the benchmark's, and relations
+    between regions and nations, each under both forms of an address."""
+    lib, none = library(spark, sf_dir, scope), F.lit(None).cast("string")
+    kinds = dict(lib.tables["items"].dtypes)
+
+    def items(df, **given):
+        return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    pages, bench = table(spark, sf_dir, "pages"), table(spark, sf_dir, "benchmark")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    mark, entry = F.concat(F.lit("A"), "page_id"), F.concat(F.lit("F"), "item_id")
+    place = F.concat(F.lit("NAT"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0"))
+    added = [
+        items(pages, key=mark, item_type=F.lit("annotation"), group_id=F.lit(0), parent=F.concat(F.lit("P"), "page_id")),
+        items(bench, key=entry, item_type=F.lit("journalArticle"), group_id=F.lit(99), date_added=F.lpad(F.col("item_id").cast("string"), 9, "0")),
+        items(nation, key=place, item_type=F.lit("map"), group_id=F.lit(0)),
+    ]
+    fields = [
+        pages.select(mark.alias("key"), F.lit("annotationText").alias("field"), F.col("url").alias("value")),
+        bench.select(entry.alias("key"), F.lit("title").alias("field"), F.substring("text", 1, 40).alias("value")),
+        nation.select(place.alias("key"), F.lit("title").alias("field"), F.col("n_name").alias("value")),
+    ]
+    predicate = F.when(F.col("n_nationkey") % 2 == 0, "dc:relation").otherwise("owl:sameAs")
+    forms = F.explode(F.array(F.concat(F.lit("http://lib.example/users/1/items/"), place), F.concat(F.lit("http://lib.example/groups/7/items/"), place)))
+    tables = dict(lib.tables)
+    for rows in added:
+        tables["items"] = tables["items"].unionByName(rows)
+    for rows in fields:
+        tables["fields"] = tables["fields"].unionByName(rows)
+    tables["relations"] = nation.select(F.concat(F.lit("r"), "n_regionkey").alias("key"), F.col("n_nationkey").cast("int").alias("position"), predicate.alias("predicate"), forms.alias("uri"))
+    tables["feeds"] = region.select((F.col("r_regionkey") + 99).cast("long").alias("group_id"), F.col("r_name").alias("name"), F.lit("http://feed.example").alias("url"), none.alias("last_check"), none.alias("last_update"), none.alias("last_error"), F.lit(60).alias("refresh_interval"))
+    tables["feed_items"] = bench.select(entry.alias("key"), none.alias("read_time"), none.alias("translated_time"))
+    return Library(spark, tables, scope)
+
+
+@query("lib_annotations", _WITH + _MORE + "SELECT m.key, m.parent, m.work, m.text AS \"annotationText\", w.title AS work_title FROM marks m LEFT JOIN (SELECT * FROM works WHERE group_id = 0) w ON w.key = m.work")
+def lib_annotations(spark, sf_dir):
+    return extended(spark, sf_dir).get_annotations().select("key", "parent", "work", "annotationText", "work_title")
+
+
+@query("lib_annotations_of", _WITH + _MORE + "SELECT key, parent FROM marks WHERE work = 'D17'")
+def lib_annotations_of(spark, sf_dir):
+    return extended(spark, sf_dir).get_annotations("D17").select("key", "parent")
+
+
+@query("lib_notes_and_annotations", _WITH + _MORE + "SELECT key, parent, kind FROM (SELECT * FROM (SELECT key, parent, 'note' AS kind FROM notes WHERE contains(lower(note), 'com') ORDER BY key LIMIT 15) UNION ALL SELECT * FROM (SELECT key, parent, 'annotation' FROM marks WHERE contains(lower(text), 'com') ORDER BY key LIMIT 15)) ORDER BY kind DESC, key LIMIT 15")
+def lib_notes_and_annotations(spark, sf_dir):
+    return extended(spark, sf_dir).search_notes_and_annotations("com", 15).select("key", "parent", "kind")
+
+
+@query("lib_attachment", _WITH + "SELECT f.key, f.parent, mime, title AS work_title FROM files f LEFT JOIN (SELECT * FROM works WHERE group_id = 0) w ON w.key = f.parent WHERE f.key = 'P21'")
+def lib_attachment(spark, sf_dir):
+    return library(spark, sf_dir).get_attachment("P21").select("key", "parent", "mime", "work_title")
+
+
+@query("lib_all_keys", _WITH + _MORE + "SELECT key FROM works UNION SELECT key FROM notes UNION SELECT key FROM files UNION SELECT key FROM marks UNION SELECT key FROM entries UNION SELECT 'NAT' || lpad(n_nationkey::VARCHAR, 5, '0') FROM nation")
+def lib_all_keys(spark, sf_dir):
+    return extended(spark, sf_dir).all_keys()
+
+
+@query("lib_feeds", "SELECT r_regionkey + 99 AS group_id, r_name AS name, CASE WHEN r_regionkey = 0 THEN (SELECT count(*) FROM benchmark) ELSE 0 END AS n_items FROM region")
+def lib_feeds(spark, sf_dir):
+    return extended(spark, sf_dir).list_feeds().select("group_id", "name", "n_items")
+
+
+@query("lib_feed_items", _WITH + _MORE + "SELECT key, date_added, title, NULL::VARCHAR AS creators FROM entries ORDER BY date_added DESC, key LIMIT 30")
+def lib_feed_items(spark, sf_dir):
+    return extended(spark, sf_dir).feed_items(99, 30).select("key", "date_added", "title", "creators")
+
+
+@query("lib_collection_children", _WITH + ", filed0 AS (SELECT key FROM live JOIN filed USING (key) JOIN nation ON collection = 'n' || n_nationkey WHERE n_regionkey = 4) SELECT key FROM filed0 UNION SELECT key FROM notes WHERE parent IN (SELECT key FROM filed0) UNION SELECT key FROM files WHERE parent IN (SELECT key FROM filed0)")
+def lib_collection_children(spark, sf_dir):
+    return library(spark, sf_dir).collection_items_with_children("r4", True).select("key")
+
+
+@query("lib_tree", "SELECT 'n' || n_nationkey AS key, 1 AS depth, '  - ' || n_name || ' (n' || n_nationkey || ')' AS line FROM nation UNION ALL SELECT 'r' || r_regionkey, 0, '- ' || r_name || ' (r' || r_regionkey || ')' FROM region")
+def lib_tree(spark, sf_dir):
+    return library(spark, sf_dir).collection_tree()
+
+
+@query("lib_related", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'dc:relation' ELSE 'owl:sameAs' END AS predicate, string_agg('NAT' || lpad(n_nationkey::VARCHAR, 5, '0') || '=' || n_name, ',' ORDER BY n_nationkey) AS related FROM nation WHERE n_regionkey = 2 GROUP BY 1")
+def lib_related(spark, sf_dir):
+    found = extended(spark, sf_dir).get_related_by_predicate("r2")
+    return found.select("predicate", F.array_join(F.transform("related", lambda x: F.concat(x["related_key"], F.lit("="), x["title"])), ",").alias("related"))
+
+
+@query("lib_delete_collection", "SELECT 'n' || (doc_id % 25) AS collection, count(*) AS n FROM documents JOIN nation ON n_nationkey = doc_id % 25 WHERE n_regionkey <> 1 AND n_nationkey <> 8 GROUP BY 1 UNION ALL SELECT 'collections left', (SELECT count(*) FROM nation WHERE n_regionkey <> 1 AND n_nationkey <> 8) + (SELECT count(*) FROM region WHERE r_regionkey <> 1)")
+def lib_delete_collection(spark, sf_dir):
+    """What is filed, and how many collections there are, after a region and a nation were deleted."""
+    lib = library(spark, sf_dir)
+    nodes, filed = delete_nodes(lib.collections, lib.membership, ["r1", "n8"], "key", "parent", "collection")
+    left = nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("collections left").alias("collection"), "n")
+    return filed.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).unionByName(left)

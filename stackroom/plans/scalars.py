@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import boxes as B
 from ..functions import identifiers as I
+from ..functions import items as K
 from ..functions import text as T
 from ..session import table
 from ..sources import citations as C
@@ -39,6 +40,8 @@ _cases("arxiv_norm", I.normalize_arxiv, [("arXiv:2401.00001v2", "2401.00001v2"),
 _cases("arxiv_identity", I.arxiv_identity, [("2401.00001v2", "2401.00001"), ("10.48550/arXiv.2401.00001", "2401.00001"), ("https://doi.org/10.48550/arxiv.2401.00001v3", "2401.00001"), ("x", None)])
 _cases("arxiv_extra", I.arxiv_from_lines, [("note: x\narXiv: 2401.00001v1 [cs]\n", "2401.00001"), ("no", None)])
 _cases("title_key", T.title_key, [("The <i>Étude</i> of   B–C!", "etude of b c"), ("A/B testing", "a b testing"), ("An  Apple", "apple"), ("x &lt; y &amp; Straße", "x y strasse"), (None, "")])
+_cases("title_query", T.title_query, [("The <i>Étude</i> of\n  B&amp;C", "The Étude of B&C"), ("DREAM<sub>(D)</sub>:", "DREAM (D) :"), ("a &lt;i&gt; b", "a <i> b"), ("a&nbsp;b", "a b"), ("<b> </b>", None), ("", None), (None, None)])
+_cases("item_type_spelling", K.canonical_type, [("JOURNALarticle", "journalArticle"), (" webpage ", "webpage"), ("tvbroadcast", "tvBroadcast"), ("novel", None), ("", None), (None, None)])
 _cases("title_key_ascii", T.ascii_title_key, [("The <i>Étude</i> of   B-C!", "etude of b c"), ("A/B testing", "a b testing"), (None, "")])
 _cases("fold_text", T.fold, [("Müller", "muller"), ("Ångström–X", "angstrom-x"), ("STRASSE ß", "strasse ss"), ("Łódź", "lodz"), (None, "")])
 _cases("strip_tags", T.strip_tags, [("<p>a <b>b</b></p>", "a b"), ("a <i\n>b</i> c", "a <i\n>b c"), (None, "")])
