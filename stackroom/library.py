@@ -20,7 +20,8 @@ from .functions import identifiers as I
 from .functions import items as T
 from .functions.text import citation_key, join_creators, title_key
 from .operators import dedup, hierarchy, hydrate, predicates, reports, search
-from .sources.citations import to_bibtex, to_markdown
+from .session import staged
+from .sources.citations import read_citations, to_bibtex, to_markdown
 
 #: Fixed schema of the tables.
 SCHEMAS = {
@@ -299,6 +300,20 @@ class Library:
         """candidates (candidate, kind, value) -> the library's items that carry the identifier, with it."""
         return candidates.join(self.match_keys(), ["kind", "value"]).select("candidate", "key", "kind", "value").distinct()
 
+    def add_citations(self, texts: DataFrame, column: str, kind: str = "auto", if_exists: str = "skip") -> DataFrame:
+        """Every entry of the texts as an item with its outcome: failed (error says why), skipped (the library
+        has its identifier: existing_key is the least such item) or created. With if_exists 'duplicate'
+        nothing is skipped. Titles never identify. Kinds are those of read_citations."""
+        if if_exists not in ("skip", "duplicate"):
+            raise predicates.Unsupported(f"if_exists {if_exists}")
+        entries = staged(read_citations(texts, column, kind).withColumn("position", F.monotonically_increasing_id()), "entries")
+        arxiv = F.array(I.arxiv_identity(F.col("url")), I.arxiv_identity(F.col("doi")), I.arxiv_from_lines(F.col("extra")))
+        named = dedup.match_keys(entries, "position", {"doi": I.doi_key(F.col("doi")), "arxiv": arxiv, "isbn": I.isbn_keys(F.col("isbn"))})
+        known = named.join(self.match_keys(), ["kind", "value"]).groupBy("position").agg(F.min("key").alias("existing_key"))
+        skip = F.col("existing_key").isNotNull() & F.lit(if_exists == "skip")
+        outcome = F.when(F.col("error").isNotNull(), "failed").when(skip, "skipped").otherwise("created")
+        return entries.join(known, "position", "left").withColumn("outcome", outcome).drop("position")
+
     def coverage(self) -> DataFrame:
         return reports.coverage(self.works.select("key"), self.live.where("item_type = 'attachment'").select(F.col("parent").alias("link"), "mime"), "key", "link", F.col("mime") == "application/pdf")
 

@@ -270,3 +270,16 @@ def lib_delete_collection(spark, sf_dir):
     nodes, filed = delete_nodes(lib.collections, lib.membership, ["r1", "n8"], "key", "parent", "collection")
     left = nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("collections left").alias("collection"), "n")
     return filed.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).unionByName(left)
+
+
+@query("lib_add_citations", _WITH + "SELECT 'K' || page_id AS cite_key, CASE page_id % 4 WHEN 0 THEN 'journalArticle' WHEN 1 THEN 'thesis' WHEN 2 THEN 'preprint' END AS item_type, CASE WHEN page_id % 4 <> 3 THEN 'T' || page_id END AS title, CASE WHEN page_id % 4 = 3 THEN 'failed' WHEN d.key IS NULL THEN 'created' ELSE 'skipped' END AS outcome, CASE WHEN page_id % 4 <> 3 THEN d.key END AS existing_key FROM pages LEFT JOIN (SELECT doi, min(key) AS key FROM live GROUP BY doi) d ON d.doi = '10.1000/' || page_id WHERE page_id % 4 <> 3 UNION ALL SELECT NULL, NULL, NULL, 'failed', NULL FROM pages WHERE page_id % 4 = 3")
+def lib_add_citations(spark, sf_dir):
+    """A citation of every page, in three formats and one that can't be read, against the works' identifiers."""
+    n = F.col("page_id").cast("string")
+    bib = F.concat(F.lit("@article{K"), n, F.lit(", title={T"), n, F.lit("}, doi={10.1000/"), n, F.lit("}}"))
+    csl = F.concat(F.lit('{"type": "thesis", "id": "K'), n, F.lit('", "title": "T'), n, F.lit('", "DOI": "https://doi.org/10.1000/'), n, F.lit('"}'))
+    record = F.concat(F.lit('{"type": "posted-content", "id": "K'), n, F.lit('", "title": ["T'), n, F.lit('"], "DOI": "10.1000/'), n, F.lit('"}'))
+    part = F.col("page_id") % 4
+    text = F.when(part == 0, bib).when(part == 1, csl).when(part == 2, record).otherwise(F.lit('{"type": '))
+    found = library(spark, sf_dir).add_citations(table(spark, sf_dir, "pages").select(text.alias("t")), "t")
+    return found.select("cite_key", "item_type", "title", "outcome", "existing_key")

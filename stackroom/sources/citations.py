@@ -12,8 +12,26 @@ from pyspark.sql import functions as F
 
 ITEM = "struct<item_type string, title string, creators array<struct<first string, last string, name string>>, date string, doi string, isbn string, container string, publisher string, volume string, issue string, pages string, url string, abstract string, cite_key string, extra string, error string>"
 #: Item types by entry type; others are documents.
-BIBTEX_TYPES = {"article": "journalArticle", "book": "book", "booklet": "book", "inbook": "bookSection", "incollection": "bookSection", "inproceedings": "conferencePaper", "conference": "conferencePaper", "proceedings": "book", "phdthesis": "thesis", "mastersthesis": "thesis", "thesis": "thesis", "techreport": "report", "report": "report", "online": "webpage", "electronic": "webpage", "www": "webpage", "patent": "patent", "software": "computerProgram", "dataset": "dataset", "unpublished": "manuscript", "misc": "document", "manual": "document"}
-CSL_TYPES = {"article-journal": "journalArticle", "article": "preprint", "article-magazine": "magazineArticle", "article-newspaper": "newspaperArticle", "book": "book", "chapter": "bookSection", "paper-conference": "conferencePaper", "thesis": "thesis", "report": "report", "webpage": "webpage", "post-weblog": "blogPost", "dataset": "dataset", "software": "computerProgram", "patent": "patent", "manuscript": "manuscript", "speech": "presentation", "legal_case": "case", "bill": "bill", "legislation": "statute", "map": "map", "motion_picture": "film", "interview": "interview", "entry-encyclopedia": "encyclopediaArticle", "entry-dictionary": "dictionaryEntry", "standard": "standard"}
+BIBTEX_TYPES = {
+    "article": "journalArticle", "book": "book", "booklet": "book", "inbook": "bookSection", "incollection": "bookSection", "suppbook": "bookSection", "suppcollection": "bookSection",
+    "inproceedings": "conferencePaper", "conference": "conferencePaper", "proceedings": "book", "phdthesis": "thesis", "mastersthesis": "thesis", "thesis": "thesis",
+    "techreport": "report", "report": "report", "manual": "document", "misc": "document", "unpublished": "manuscript", "patent": "patent", "online": "webpage", "electronic": "webpage",
+    "webpage": "webpage", "software": "computerProgram", "dataset": "document", "artwork": "artwork", "audio": "audioRecording", "video": "videoRecording", "letter": "letter",
+    "standard": "document", "periodical": "journalArticle", "collection": "book",
+}
+#: Item types by CSL type and by the types of registry records; others are documents.
+CSL_TYPES = {
+    "article-journal": "journalArticle", "article-magazine": "magazineArticle", "article-newspaper": "newspaperArticle", "article": "preprint", "book": "book", "chapter": "bookSection",
+    "paper-conference": "conferencePaper", "thesis": "thesis", "report": "report", "webpage": "webpage", "post-weblog": "blogPost", "post": "forumPost", "patent": "patent",
+    "manuscript": "manuscript", "dataset": "dataset", "entry-encyclopedia": "encyclopediaArticle", "entry-dictionary": "dictionaryEntry", "speech": "presentation", "interview": "interview",
+    "personal_communication": "letter", "broadcast": "radioBroadcast", "motion_picture": "film", "song": "audioRecording", "map": "map", "legal_case": "case", "legislation": "statute",
+    "bill": "bill", "software": "computerProgram", "figure": "artwork", "graphic": "artwork", "pamphlet": "document", "review": "journalArticle", "review-book": "journalArticle",
+    "treaty": "document", "journal-article": "journalArticle", "proceedings-article": "conferencePaper", "book-chapter": "bookSection", "book-part": "bookSection",
+    "book-section": "bookSection", "reference-entry": "dictionaryEntry", "monograph": "book", "edited-book": "book", "reference-book": "book", "book-set": "book", "book-series": "book",
+    "book-track": "bookSection", "proceedings": "book", "proceedings-series": "book", "report-component": "report", "report-series": "report", "dissertation": "thesis",
+    "posted-content": "preprint", "journal-issue": "journalArticle", "journal-volume": "journalArticle", "journal": "journalArticle", "database": "dataset", "standard": "standard",
+    "component": "document", "grant": "document", "peer-review": "document", "other": "document",
+}
 OUT_TYPES = {"journalArticle": "article", "book": "book", "bookSection": "incollection", "conferencePaper": "inproceedings", "thesis": "phdthesis", "report": "techreport", "webpage": "online", "patent": "patent", "dataset": "dataset", "computerProgram": "software", "manuscript": "unpublished"}
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
 
@@ -142,15 +160,34 @@ def csl_item(csl: dict) -> dict:
     return {"item_type": CSL_TYPES.get(csl.get("type", ""), "document"), "title": text("title"), "creators": people, "date": date, "doi": text("DOI"), "isbn": text("ISBN"), "container": text("container-title"), "publisher": text("publisher"), "volume": text("volume"), "issue": text("issue"), "pages": text("page"), "url": text("URL"), "abstract": text("abstract"), "cite_key": text("citation-key") or text("id"), "extra": text("note"), "error": None}
 
 
+def registry_item(record: dict) -> dict:
+    """A registry's record: CSL whose titles and identifiers are lists."""
+    one = {k: v[0] if v else None for k, v in record.items() if isinstance(v, list) and all(isinstance(x, str) for x in v)}
+    isbn = record.get("ISBN")
+    return csl_item({**record, **one, "ISBN": " ".join(isbn) if isinstance(isbn, list) else isbn})
+
+
+def format_of(text: str | None) -> str:
+    """bibtex, csl_json, or registry for JSON whose titles are lists, by the text itself."""
+    start = (text or "").lstrip()
+    if start[:1] not in ("{", "["):
+        return "bibtex"
+    return "registry" if re.search(r'"title"\s*:\s*\[', start) else "csl_json"
+
+
 def _items(text: str | None, kind: str) -> list[dict]:
     try:
-        return [bibtex_item(e) for e in parse_bibtex(text or "")] if kind == "bibtex" else [csl_item(c) for c in coerce_csl(text or "[]")]
+        kind = format_of(text) if kind == "auto" else kind
+        if kind == "bibtex":
+            return [bibtex_item(e) for e in parse_bibtex(text or "")]
+        return [(registry_item if kind == "registry" else csl_item)(c) for c in coerce_csl(text or "[]")]
     except (ValueError, TypeError, KeyError) as e:
         return [{"item_type": None, "title": None, "creators": [], "date": None, "doi": None, "isbn": None, "container": None, "publisher": None, "volume": None, "issue": None, "pages": None, "url": None, "abstract": None, "cite_key": None, "extra": None, "error": str(e)[:200]}]
 
 
 def read_citations(df: DataFrame, text: str, kind: str) -> DataFrame:
-    """One row per entry of every text; kind is bibtex or csl_json. Entries that can't be read have error."""
+    """One row per entry of every text; kind is bibtex, csl_json, registry or auto (by the text). Entries that
+    can't be read have error."""
     schema = ITEM[len("struct<") : -1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

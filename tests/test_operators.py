@@ -243,3 +243,13 @@ def test_refresh_leaves_later_items(spark, tmp_path):
     run = lambda t: maintain.refresh(spark.read.parquet(path), t, marks, 0, "key", "text", "version", vector.hash_embedder())
     assert run(late).watermark == 2 and run(late).watermark == 3
     assert {r["parent"] for r in table.read().select("parent").collect()} == {"a", "b", "c"}
+
+
+def test_citation_formats_and_types():
+    assert C.format_of("  @book{a, title={x}}") == "bibtex" and C.format_of(None) == "bibtex"
+    assert C.format_of('[{"title": "x"}]') == "csl_json" and C.format_of('{"title" : ["x"]}') == "registry"
+    record = C.registry_item({"type": "book-chapter", "title": ["A", "B"], "container-title": [], "ISBN": ["978-1", "978-2"], "author": [{"given": "J", "family": "Doe"}], "issued": {"date-parts": [[2020, 3]]}})
+    assert (record["item_type"], record["title"], record["isbn"], record["date"]) == ("bookSection", "A", "978-1 978-2", "2020-03")
+    assert record["container"] is None and record["creators"][0]["last"] == "Doe"
+    assert C.csl_item({"type": "pamphlet"})["item_type"] == C.csl_item({"type": "no such"})["item_type"] == "document"
+    assert C.bibtex_item({"type": "suppbook", "fields": {}})["item_type"] == "bookSection"
