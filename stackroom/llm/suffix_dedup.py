@@ -21,7 +21,9 @@ about one unit arises every 34 bytes.
    matches, and those found go. What remains becomes a new level, and levels of equal size class
    are merged until sizes are geometric. A level is its bytes and an array of places in them; windows
    are copied only for the block under comparison.
-   A key with more than HOT byte strings is dealt by its windows' own hashes instead.
+   A unit whose key has more than HOT byte strings is cut into runs of at most RUN windows, each dealt by
+   the bytes that all windows of its kind hold: those whose first gram with the key starts RUN * k to RUN * k +
+   RUN - 1 bytes after them. Equal windows are of one kind and hold the same bytes, so they meet.
 3. Removed windows, as ranges, are brought to their documents; the covered bytes are cut out.
 
 RepeatIndex keeps the family between runs, as tables in a shared folder: each batch's texts, and
@@ -44,7 +46,7 @@ from .bytewords import U64, Prefix, chunks, mix, sliced
 from .common import read, release, shared_table, write_table
 
 LENGTH, GRAM = 100, 32
-BATCH, HOT = 50_000, 2048
+BATCH, HOT, RUN = 50_000, 2048, 8
 #: Windows that a task indexes, about.
 TASK_WINDOWS = 500_000
 #: Suffixes of a level that are copied for comparison at once.
@@ -233,29 +235,44 @@ def _scan(length: int, batch_windows: int):
     return run
 
 
-def _cut(length: int):
+def runs(spans: list[bytes], keys: list[int], length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """(unit, key to be dealt by, first, past last window) of the runs of some units' windows, by the bytes
+    that every window of a run's kind holds."""
+    sizes = np.array([len(s) for s in spans], np.int64)
+    base, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    ends, key = np.cumsum(counts), np.array(keys, np.int64).view(U64)
+    prefix = Prefix(np.frombuffer(b"".join(spans), np.uint8))
+    places = np.arange(int(sizes.sum()) - gram + 1)
+    spots = np.flatnonzero(mix(prefix.span(places, places + gram)) == np.repeat(key, sizes)[: len(places)])
+    unit = np.repeat(np.arange(len(spans)), counts)
+    window = np.arange(ends[-1]) + (base - (ends - counts))[unit]
+    spot = spots[np.searchsorted(spots, window)]  # of the first gram with the key in each window
+    kind = (spot - window) // RUN
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(spot) != 0) | (np.diff(kind) != 0) | (np.diff(unit) != 0)]))
+    past = np.append(first[1:], ends[-1]) - first
+    spot, kind, unit, at = spot[first], kind[first], unit[first], window[first] - base[unit[first]]
+    held = prefix.span(spot - kind * RUN, spot - np.minimum(kind * RUN + RUN - 1, length - gram) + length)
+    own = mix(held ^ mix(kind.astype(U64) + key[unit])).view(np.int64)
+    yield from zip(unit.tolist(), own.tolist(), at.tolist(), (at + past).tolist(), strict=True)
+
+
+def _cut(length: int, gram: int):
     """mapInArrow function over (row, doc_id, text, wanted): the spans of the wanted units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2):
-            keys, ids, ords, places, spans = [], [], [], [], []
+            out, hot = [], []  # (key, row, ord, place, span)
             for i, o, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for w in wanted or ():
-                    p, n = w["place"], w["windows"]
-                    if w["hot"]:
-                        own = mix(Prefix(np.frombuffer(text[p : p + n + length - 1], np.uint8)).span(np.arange(n), np.arange(n) + length)).view(np.int64)
-                        keys += own.tolist()
-                        ids += [i] * n
-                        ords += [LAST_ID if o is None else o] * n
-                        places += range(p, p + n)
-                        spans += [text[p + k : p + k + length] for k in range(n)]
-                    else:
-                        keys.append(w["key"])
-                        ids.append(i)
-                        ords.append(LAST_ID if o is None else o)
-                        places.append(p)
-                        spans.append(text[p : p + n + length - 1])
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in (keys, ids, ords, places)), pa.array(spans, pa.binary())], ["key", "row", "ord", "place", "span"])
+                    p = w["place"]
+                    (hot if w["hot"] else out).append((w["key"], i, LAST_ID if o is None else o, p, text[p : p + w["windows"] + length - 1]))
+            for first, group in chunks([span for *_, span in hot]):
+                mine = hot[first : first + len(group)]
+                for u, key, a, z in runs(group, [key for key, *_ in mine], length, gram):
+                    _, i, o, p, span = mine[u]
+                    out.append((key, i, o, p + a, span[a : z + length - 1]))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["key", "row", "ord", "place", "span"])
 
     return run
 
@@ -327,11 +344,11 @@ def _marked(docs: DataFrame, past: DataFrame | None, length: int, gram: int) ->
     return marked.select("key", "body", "ord", "row", "spot", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"), ((F.col("least") != F.col("most")) | twice).alias("apart"), (F.col("n") > HOT).alias("hot"))
 
 
-def _without(docs: DataFrame, found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _without(docs: DataFrame, found: DataFrame, texts: DataFrame, length: int, gram: int) -> DataFrame:
     """docs without their repeats. found: units with verdicts; texts: docs and the earlier texts that
     found names. Both joins read the same columns of the texts, so that they share one exchange of them."""
     wanted = found.where("apart AND NOT repeat").groupBy("row").agg(F.collect_list(F.struct("key", "place", "windows", "hot")).alias("wanted"))
-    spans = texts.join(wanted.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "wanted").mapInArrow(_cut(length), "key long, row long, ord long, place long, span binary")
+    spans = texts.join(wanted.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "wanted").mapInArrow(_cut(length, gram), "key long, row long, ord long, place long, span binary")
     windows = found.where("apart AND NOT repeat").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
     dealt = spans.repartition(1 + windows // TASK_WINDOWS, "key").sortWithinPartitions(F.shiftright("row", BATCH_BITS), "ord", "row", "place").select("row", "place", "span")
     removed = dealt.mapInArrow(_scan(length, BATCH), "row long, first long, past long")
@@ -352,7 +369,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = shared_table(_numbered(df, id_col, text_col), "texts")
     found = shared_table(_marked(docs, None, length, gram).where("repeat OR apart").drop("body", "ord", "spot"), "units")
     release(df.sparkSession)
-    return _without(docs, found, docs, length)
+    return _without(docs, found, docs, length, gram)
 
 
 class RepeatIndex:
@@ -397,7 +414,7 @@ class RepeatIndex:
             write_table(level.repartition("key").sortWithinPartitions("key"), f"{self.folder}/level-{batch}")
             parts.append(("level", size, f"{self.folder}/level-{batch}"))
         parts.append(("text", 0, f"{self.folder}/texts-{batch}"))
-        out = shared_table(_without(docs, found, texts, self.length), "kept")
+        out = shared_table(_without(docs, found, texts, self.length, self.gram), "kept")
         write_table(self.spark.createDataFrame(parts, "kind string, units long, path string").coalesce(1), f"{self.folder}/contents-{batch + 1}")
         return out
 

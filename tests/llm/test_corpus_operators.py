@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -288,6 +289,29 @@ def test_repeats_across_batches(spark, sf_dir, tmp_path, monkeypatch):
     assert index.contents()[0] == 5 and all(len(set(x)) == len(x) for x in sizes) and any(sizes)
 
 
+def test_repeats_of_hot_keys_are_cut_into_runs():
+    """Under a frequent key, equal windows are dealt alike, and a unit's bytes are copied a few times, not once a window."""
+    random.seed(12)
+    line = b"a line that a very large number of documents share, each elsewhere"
+    around = lambda: bytes(random.choices(b"abcdefgh ", k=150))
+    texts = [around() + line + around() for _ in range(40)]
+    texts += [x[:130] + x[125:] for x in texts[:10]] + [around()[:90] + x[90:] for x in texts[:10]] + [line * 5, b"z" * 150, b"xy" + line * 3]
+    doc, key, _, place, n, _ = S.units(texts)
+    wanted = [[{"key": int(k), "place": int(p), "windows": int(w), "hot": True} for d, k, p, w in zip(doc, key.view(np.int64), place, n, strict=True) if d == i] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("windows", pa.int64()), ("hot", pa.bool_())]))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array(wanted, kind)], ["row", "doc_id", "text", "wanted"])
+    rows = [r for b in S._cut(S.LENGTH, S.GRAM)(iter([batch])) for r in b.to_pylist()]
+    windows, dealt = [], {}
+    for r in rows:
+        assert texts[r["row"]][r["place"] :].startswith(r["span"])
+        for i in range(len(r["span"]) - S.LENGTH + 1):
+            windows.append((r["row"], r["place"] + i))
+            dealt.setdefault(r["span"][i : i + S.LENGTH], set()).add(r["key"])
+    assert sorted(windows) == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - S.LENGTH + 1)]
+    assert all(len(keys) == 1 for keys in dealt.values()) and len(dealt) < len(windows)
+    assert sum(len(r["span"]) for r in rows if r["row"] < 60) < 7 * sum(int(w) + S.LENGTH - 1 for d, w in zip(doc, n, strict=True) if d < 60)
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(1)
     for length in (3, 8, 21, 100):
