@@ -19,9 +19,11 @@ so that a group of copies sends a row per key and task, however many copies it h
 How buckets are joined. A bucket links to its least document only (a star, linear in the
 bucket). Candidates must pass the whole sketches' Hamming bound, then an exact count on
 the shingle sets. Only where the linked components still leave a bucket divided are its
-other members compared, across components: in tiles of TILE members a side, by sketches,
-so that only what passes the Hamming bound is ever written. That gives the components; the links
-property compares all members of each bucket so, whatever their components. A pair that meets in several
+other members compared, across components: in tiles of TILE members a side, by sketches. The
+members that pass the Hamming bound with some other then meet in the same tiles with their sets, and are
+counted there, so that no pair is written but links, and of these only those that span the tile's components.
+That gives the components; the links property compares all members of each bucket so, whatever their
+components, and writes all links. A pair that meets in several
 buckets is reported by the least of them that is among both sides' LEAST_KEYS least keys, and by
 all of them where there is none such.
 """
@@ -164,14 +166,17 @@ def _within(percent: int):
     return run
 
 
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, keep = batch.column("set_a"), batch.column("set_b"), []
             for i in range(len(left)):
-                p, q = np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(_linked(np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64), percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
@@ -202,23 +207,36 @@ def _compare(n: np.ndarray, sketches: list[bytes], component: np.ndarray, tile:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, spanning: bool):
     """mapInArrow function over rows (key, s, t, tile, rep, component, n_shingles, sketch, least) sorted
-    by key, s, t: the candidate pairs of every tile pair."""
+    by key, s, t: the rows that are in some candidate pair of their tile pair. Where the rows have their
+    sets too: the links (a, b) among the candidates; if spanning, only as many as join the tile's components."""
 
     def pairs(batch: pa.Table) -> list[pa.RecordBatch]:
         x = {c: batch.column(c).to_numpy() for c in ("key", "s", "t", "tile", "rep", "component", "n_shingles")}
         sketches, least = batch.column("sketch").to_pylist(), batch.column("least").to_pylist()
+        shingles = [np.frombuffer(v.as_buffer(), U64) for v in batch.column("set")] if "set" in batch.column_names else None
         new = np.flatnonzero((np.diff(x["key"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["t"]) != 0)) + 1
-        found = set()
+        chosen, found = np.zeros(len(sketches), bool), set()
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(sketches)], strict=True):
-            i, j = _compare(x["n_shingles"][lo:hi], sketches[lo:hi], x["component"][lo:hi], x["tile"][lo:hi], percent, x["s"][lo] != x["t"][lo])
+            component = x["component"][lo:hi].copy()
+            i, j = _compare(x["n_shingles"][lo:hi], sketches[lo:hi], component, x["tile"][lo:hi], percent, x["s"][lo] != x["t"][lo])
             reps, key, sets = x["rep"][lo:hi].tolist(), int(x["key"][lo]), [None] * (hi - lo)
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                if shingles is None and chosen[lo + p] and chosen[lo + q] or spanning and component[p] == component[q]:
+                    continue
                 for m in (p, q):
                     sets[m] = sets[m] or set(least[lo + m])
-                if min(sets[p] & sets[q], default=key) == key:
+                if min(sets[p] & sets[q], default=key) != key:
+                    continue
+                if shingles is None:
+                    chosen[lo + p] = chosen[lo + q] = True
+                elif _linked(shingles[lo + p], shingles[lo + q], percent):
                     found.add((min(reps[p], reps[q]), max(reps[p], reps[q])))
+                    if spanning:
+                        component[component == component[q]] = component[p]
+        if shingles is None:
+            return batch.filter(pa.array(chosen)).combine_chunks().to_batches()
         a, b = zip(*found, strict=True) if found else ((), ())
         return [pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])]
 
@@ -257,15 +275,14 @@ class NearDuplicates:
         links = self._links(buckets.where("doc_id <> pivot").select(F.col("pivot").alias("p"), "doc_id").distinct())
         rest = self._divided(buckets, components(links, "stars"))
         release(self.spark)
-        self.spanning = links.unionByName(self._verify(rest))
+        self.spanning = links.unionByName(rest)
 
     @cached_property
     def links(self) -> DataFrame:
         """(a, b): every link between representatives, a < b. The pairs of each bucket are compared
         as if no component were known yet; their number can grow with the square of a group's."""
         alone = self.nodes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
-        pairs = self._divided(self.buckets, alone).join(self.spanning, ["a", "b"], "left_anti")
-        return shared_table(self.spanning.unionByName(self._verify(pairs)).distinct(), "all-links")
+        return shared_table(self.spanning.unionByName(self._divided(self.buckets, alone, spanning=False)).distinct(), "all-links")
 
     def link_counts(self) -> DataFrame:
         """One row per input row: doc_id, n_shingles, n_links: the rows with another set that link with it."""
@@ -292,16 +309,20 @@ class NearDuplicates:
         near = pairs.join(end("a"), "a").join(end("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
         near = shared_table(near.mapInArrow(_within(p), "a long, b long"), "candidates")
         used = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-        texts = self.docs.join(used.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_described(p, "set"), "doc_id long, n_shingles long, f1 long, f2 long, set binary")
-        sets = sets.join(self.nodes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"])
-        sets = shared_table(sets.select(F.col("doc_id").alias("rep"), "set"), "sets")
+        sets = self._sets(used)
         full = near.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b")
         return shared_table(full.mapInArrow(_verified(p), "a long, b long"), "links")
 
-    def _divided(self, buckets: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of representatives that share a bucket, are not its pivot, and are in different
-        components so far."""
+    def _sets(self, used: DataFrame) -> DataFrame:
+        """(rep, set) of the used representatives."""
+        texts = self.docs.join(used.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_described(self.percent, "set"), "doc_id long, n_shingles long, f1 long, f2 long, set binary")
+        sets = sets.join(self.nodes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"])
+        return shared_table(sets.select(F.col("doc_id").alias("rep"), "set"), "sets")
+
+    def _divided(self, buckets: DataFrame, parts: DataFrame, spanning: bool = True) -> DataFrame:
+        """Links (a, b) of representatives that share a bucket, are not its pivot, and are in different
+        components so far: all, or as many as join each tile's components."""
         slack = F.create_map(*[F.lit(x) for j in range(len(size_classes()) - 1) for x in (j, banding(j, self.percent)[2])])
         rows = buckets.where("n > 2").withColumn("band", F.col("key").bitwiseAND((1 << CLASS_BITS) - 1).cast("int"))
         hot = rows.where(F.col("n") > HOT).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") <= slack[F.col("band")]).select("doc_id", "band", F.lit(1).alias("cool"))
@@ -312,11 +333,14 @@ class NearDuplicates:
         whole = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("m")).where("c < d")
         rows = shared_table(rows.join(whole.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key"), "divided")
         least = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
-        rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.join(self.nodes.select("rep", "n_shingles", "sketch"), "rep").join(least, "rep")
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("key", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "rep", "component", "n_shingles", "sketch", "least")
-        tiled = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t").mapInArrow(_tiles(self.percent), "a long, b long")
-        return shared_table(tiled.distinct(), "pairs")
+        tiled = lambda x: x.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
+        schema = "key long, s int, t int, tile int, rep long, component long, n_shingles long, sketch binary, least array<long>"
+        near = shared_table(tiled(rows).mapInArrow(_tiles(self.percent, spanning), schema), "near-members")
+        full = near.join(self._sets(near.select("rep").distinct()), "rep").select(*near.columns, "set")
+        return shared_table(tiled(full).mapInArrow(_tiles(self.percent, spanning), "a long, b long").distinct(), "tile-links")
 
     def components(self) -> DataFrame:
         """One row per input row: doc_id, n_shingles, component_id."""

@@ -174,6 +174,17 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()) == [(-1, 1, 3), (3, 1, 3), (3, 1, 3), (4, 0, 4)]
 
 
+def test_near_duplicates_write_no_pairs_of_a_group(spark, monkeypatch):
+    """Many texts of one pattern, most pairs of which are near by sketches but no links: tables of pairs don't
+    grow with the square of their number, and the components are right."""
+    base, made, real = [f"w{i}" for i in range(60)], [], N.shared_table
+    rows = [(i, " ".join([*base[: 5 + i % 10 * 5], f"v{i}", *base[6 + i % 10 * 5 :]]), "s") for i in range(200)]
+    monkeypatch.setattr(N, "shared_table", lambda df, label: made.append(real(df, label)) or made[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert max(x.count() for x in made if x.columns == ["a", "b"]) < 10 * len(rows)
+
+
 @pytest.mark.parametrize("hot, tile", [(16, 512), (3, 4)])
 def test_near_duplicate_links_are_all(spark, monkeypatch, hot, tile):
     """Cliques and random near copies against every pair."""
