@@ -214,6 +214,69 @@ def test_window_bounds_hold():
         assert all(difflib.SequenceMatcher(None, text[i : i + width], pattern, autojunk=False).ratio() <= bounds[i] + 1e-9 for i in range(places))
 
 
+def _most_like(pages, pattern):
+    """(ratio, page, start, end) by SequenceMatcher over every window; page -1 if nothing is alike."""
+    import difflib
+
+    width, best = max(1, int(1.2 * len(pattern))), (0.0, -1, 0, 0)
+    for k, t in enumerate(pages):
+        if (a := t.find(pattern)) >= 0:
+            return 1.0, k, a, a + len(pattern)
+        for i in range(max(1, len(t) - len(pattern) + 1)):
+            r = difflib.SequenceMatcher(None, t[i : i + width], pattern, autojunk=False).ratio()
+            if r > best[0]:
+                best = (r, k, i, min(len(t), i + width))
+    return best
+
+
+def test_fuzzy_pages_against_every_window(spark, monkeypatch):
+    """Documents together, pages cut into parts, patterns of one word of bits and of more."""
+    from pyspark.sql import functions as F
+
+    random.seed(7)
+    for trial in range(24):
+        monkeypatch.setattr(G, "CHARS", random.choice([1, 17, 100, 1 << 20]))
+        monkeypatch.setattr(G, "BLOCK", random.choice([1, 7, 1 << 14]))
+        monkeypatch.setattr(G, "FEW", random.choice([0, 1 << 13]))
+        letters, n = random.choice(["ab", "abc de", "ab é中😀"]), (1, 2, 23, 32, 33, 64, 65, 130)[trial % 8]
+        text = lambda k: "".join(random.choice(letters) for _ in range(k))
+        docs = [[text(random.choice([0, 1, n - 1, n, n + 9, 150])) for _ in range(random.randrange(4))] for _ in range(3)]
+        pattern = text(n)
+        assert G.fuzzy_pages(docs, pattern) == [_most_like(d, pattern) for d in docs]
+    monkeypatch.undo()
+    pattern = "the and of the in thand"
+    docs = [["none", "a the and of thy in thands"], ["x", None, f"so {pattern}", pattern], ["", ""], [], None, ["\t" * 40]]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, pages array<string>")
+    got = [tuple(r["f"]) for r in df.withColumn("f", G.find_in_pages(F.col("pages"), pattern)).orderBy("id").collect()]
+    want = [_most_like([t or "" for t in d or []], pattern) for d in docs]
+    assert got == [(max(k, 0 if d else -1) + 1, r, a, z, r >= 0.85) for d, (r, k, a, z) in zip(docs, want, strict=True)]
+    assert [g[0] for g in got] == [2, 3, 1, 0, 0, 1]
+
+
+def test_fuzzy_find_has_no_python_step_per_window():
+    """Many windows have a bound above the best ratio; the Python calls don't grow with them."""
+    import sys
+
+    def calls(text):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "call"
+
+        sys.setprofile(count)
+        try:
+            G.fuzzy_find(text, "the and of the in thand")
+        finally:
+            sys.setprofile(None)
+        return n
+
+    random.seed(8)
+    text = "".join(random.choice("adefhinot  ") for _ in range(10_000))
+    few, many = calls(text[:2_000]), calls(text)
+    assert many < 2 * few, (few, many)
+
+
 def test_descendants_walk_down(spark):
     from stackroom.operators import hierarchy as H
 
